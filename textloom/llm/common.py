@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,7 +186,7 @@ def sum_sketches(parts: DataFrame, size: int) -> np.ndarray:
     What reaches the driver is one array of ``size`` int64, whatever the input's size.
     """
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             for v in b.column("counts"):

@@ -21,6 +21,7 @@ what is broadcast is bounded.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ def range_product(df: DataFrame, idf: np.ndarray, rank: int = RANK, text_col: st
             if part.any():
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "rows": pa.array([part.tobytes()], pa.binary())})
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(FEATURES // _PARTS * rank, np.float64)
         for b in batches:
             for c in b.column(1):

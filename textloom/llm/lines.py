@@ -24,6 +24,8 @@ empty table gives no rows. Other columns pass through ``dedup_lines`` untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -111,7 +113,7 @@ def scan_lines(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, line_no int, cls long, slice int, counts binary")
     rows = materialize(rows, "lines-scan")
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(_SLICE, np.int64)
         for b in batches:
             for c in b.column(1):
@@ -231,7 +233,7 @@ def _unite(label, a, b, pairs):
 def candidate_links(entries: DataFrame) -> DataFrame:
     """(a, b): links between classes that join all candidates."""
 
-    def join(key, batches):
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([np.frombuffer(c.as_buffer(), _ENTRY) for b in batches for c in b.column(1)])
         o = np.lexsort((rows["cls"], rows["n"], rows["cell"]))
         rows = rows[o]
@@ -267,7 +269,7 @@ def bloom(ids: DataFrame) -> np.ndarray:
         keep = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_pydict({"slice": pa.array(keep, pa.int32()), "bits": pa.array([parts[i].tobytes() for i in keep], pa.binary())})
 
-    def either(key, batches):
+    def either(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size // 8, np.uint8)
         for b in batches:
             for c in b.column(1):
@@ -354,7 +356,7 @@ def verified(members: DataFrame, chunk: int = GROUP_CHUNK) -> DataFrame:
     cells = members.join(sizes, "grp").select("cls", "tokens", "at", "grp", mine.alias("side"), F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))).alias("c"))
     cells = cells.select("cls", "tokens", "at", "grp", "c.i", "c.j", "side")
 
-    def compare(key, batches):
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # several cells share a key only by chance: keep them apart
         rows = pa.Table.from_batches(list(batches))
         g = np.stack([rows.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
@@ -387,7 +389,7 @@ def verified(members: DataFrame, chunk: int = GROUP_CHUNK) -> DataFrame:
     # small groups travel together: a few thousand keys however many groups there are
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     dealt = cells.withColumn("cell", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(n)).cast("int"))
-    found = dealt.groupBy("cell").applyInArrow(lambda key, batches: compare(key, batches), f"cls long, n_links long, first {kind}")
+    found = dealt.groupBy("cell").applyInArrow(compare, f"cls long, n_links long, first {kind}")
     return found.groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("first").alias("first"))
 
 

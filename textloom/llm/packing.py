@@ -184,9 +184,9 @@ def pack_texts(df: DataFrame, capacities=CAPACITIES, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(tokens, pa.int64()), pa.array(texts, pa.string())], ["id", "piece", "start", "tokens", "text"])
 
     parts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(cut, f"id {kind}, piece int, start long, tokens long, text string")
-    parts = materialize(parts.withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
+    parts = materialize(parts.withColumn("_piece_id", F.monotonically_increasing_id()), "packing-pieces")
     placed = materialize(pack(parts.drop("text"), capacities, "id"), "packing-placed")
-    return placed.join(parts.select("_row", "text"), "_row").drop("_row").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    return placed.join(parts.select("_piece_id", "text"), "_piece_id").drop("_piece_id").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
