@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +41,29 @@ GROUP_CHUNK = 1024
 BLOOM_BITS = 1 << 24
 _SLICE = 1 << 14
 _SEQ = np.uint64(0x9E3779B97F4A7C15)
-_ENTRY = np.dtype([("cell", "<u8"), ("token", "<u8"), ("cls", "<i8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+#: 64-bit words of a set's bitmap.
+WORDS = 3
+
+
+def pack_entries(cell, n, pos, cls, sig) -> bytes:
+    """Entries sorted by cell, as compressed columns."""
+    steps = np.diff(cell, prepend=np.uint32(0))
+    return zstandard.compress(b"".join([steps.tobytes(), n.astype("<u4").tobytes(), pos.astype("<u4").tobytes(), cls.tobytes(), sig.tobytes()]), 1)
+
+
+def unpack_entries(blob) -> tuple[np.ndarray, ...]:
+    raw = zstandard.decompress(blob)
+    k = len(raw) // (20 + 8 * WORDS)
+    small = np.frombuffer(raw, "<u4", 3 * k).reshape(3, k)
+    cell = np.cumsum(small[0], dtype=np.uint32)
+    return cell, small[1], small[2], np.frombuffer(raw, np.int64, k, 12 * k), np.frombuffer(raw, np.uint64, WORDS * k, 20 * k).reshape(k, WORDS)
+
+
+def bitmaps(tok: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * WORDS bits of each token set."""
+    bit = (tok >> np.uint64(7)) % np.uint64(64 * WORDS)
+    one, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+    return np.stack([np.bitwise_or.reduceat(np.where(word == np.uint64(k), one, np.uint64(0)), first) for k in range(WORDS)], 1)
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -108,7 +130,7 @@ def scan_lines(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
             parts = total.reshape(-1, _SLICE)
             keep = np.flatnonzero(parts.any(axis=1))
             n = len(keep)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(keep, pa.int32()), pa.array([parts[i].tobytes() for i in keep], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(keep, pa.int32()), pa.array([zstandard.compress(parts[i].tobytes(), 1) for i in keep], pa.binary())], names)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, line_no int, cls long, slice int, counts binary")
     rows = materialize(rows, "lines-scan")
@@ -117,7 +139,7 @@ def scan_lines(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
         out = np.zeros(_SLICE, np.int64)
         for b in batches:
             for c in b.column(1):
-                out += np.frombuffer(c.as_buffer(), np.int32)
+                out += np.frombuffer(zstandard.decompress(c.as_buffer()), np.int32)
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
 
     counts = np.zeros(BUCKETS, np.int64)
@@ -134,17 +156,20 @@ def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, parts: int,
     def run(batches):
         levels, counts = held.value
         seen = np.zeros(0, np.int64)
-        out: list[np.ndarray] = []
+        out: list[tuple] = []
         size = 0
 
         def flush():
-            rows = np.concatenate(out)
-            part = (mix(rows["cell"]) % np.uint64(parts)).astype(np.int64)
-            o = np.argsort(part, kind="stable")
-            rows, part = rows[o], part[o]
+            cell, n, pos, cls, sig = (np.concatenate(c) for c in zip(*out, strict=True))
+            scrambled = mix(cell)
+            part = (scrambled % np.uint64(parts)).astype(np.int64)
+            cell = (scrambled >> np.uint64(32)).astype(np.uint32)
+            o = np.lexsort((cell, part))
+            part = part[o]
             at = np.flatnonzero(np.diff(part, prepend=-1))
             to = np.append(at[1:], len(part))
-            return pa.RecordBatch.from_pydict({"part": pa.array(part[at], pa.int32()), "entries": pa.array([rows[i:j].tobytes() for i, j in zip(at, to, strict=True)], pa.binary())})
+            packed = [pack_entries(*(c[o[i:j]] for c in (cell, n, pos, cls, sig))) for i, j in zip(at, to, strict=True)]
+            return pa.RecordBatch.from_pydict({"part": pa.array(part[at], pa.int32()), "entries": pa.array(packed, pa.binary())})
 
         for _, texts in text_slices(batches, "t"):
             w = Words(texts)
@@ -160,7 +185,7 @@ def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, parts: int,
             tok, first, n = token_sets(w.hash[words], line, levels)
             if not len(tok):
                 continue
-            sig = np.bitwise_or.reduceat(np.uint64(1) << (tok >> np.uint64(7) & np.uint64(63)), first)
+            sig = bitmaps(tok, first)
             row = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(tok)) - first[row]
             keep = pos < prefix_length(n)[row]
@@ -168,14 +193,12 @@ def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, parts: int,
             # the entries of a token with many of them go to pairs of chunks
             k = -(-counts[((tok << np.uint64(6)) >> np.uint64(44)).astype(np.int64)] // chunk)
             k = np.maximum(k, 1)
-            e = np.zeros(int(k.sum()), _ENTRY)
             rep = np.repeat(np.arange(len(tok)), k)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
             mine = (mix(cls[new][row].view(np.uint64)) % k.astype(np.uint64)).astype(np.int64)[rep]
             cell = tok[rep] ^ (np.minimum(mine, other) * 65537 + np.maximum(mine, other)).astype(np.uint64) * _SEQ
-            e["cell"], e["token"], e["cls"], e["sig"], e["n"], e["pos"] = cell, tok[rep], cls[new][row][rep], sig[row][rep], n[row][rep], pos[rep]
-            out.append(e)
-            size += len(e)
+            out.append((cell, n[row][rep], pos[rep], cls[new][row][rep], sig[row][rep]))
+            size += len(rep)
             if size > 1 << 20:
                 yield flush()
                 out, size = [], 0
@@ -185,22 +208,22 @@ def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, parts: int,
     return df.select(F.col(text_col).alias("t")).mapInArrow(run, "part int, entries binary")
 
 
-def joined_cells(e: np.ndarray):
+def joined_cells(cell, n, pos, cls, sig):
     """A spanning forest, as index pairs, of the candidate pairs in each cell of sorted entries."""
-    n, pos, sig, cls = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["sig"], e["cls"]
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
     _, label = np.unique(cls, return_inverse=True)
-    cell, token = e["cell"], e["token"]
-    live, off, pairs = np.arange(len(e)), 1, []
+    live, off, pairs = np.arange(len(cell)), 1, []
     while len(live):
-        live = live[live + off < len(e)]
+        live = live[live + off < len(cell)]
         live = live[cell[live] == cell[live + off]]
         live = live[n[live] * 5 >= n[live + off] * 4]
         a = live[label[live] != label[live + off]]
         b = a + off
         need = overlap_needed(n[a], n[b])
-        ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (token[a] == token[b])
-        ok &= n[a] + n[b] - np.bitwise_count(sig[a] ^ sig[b]) >= 2 * need
-        a = a[ok]
+        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
+        a, b, need = a[ok], b[ok], need[ok]
+        apart = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64)
+        a = a[n[a] + n[b] - apart >= 2 * need]
         if len(a):
             label = _unite(label, a, a + off, pairs)
         off += 1
@@ -234,19 +257,15 @@ def candidate_links(entries: DataFrame) -> DataFrame:
     """(a, b): links between classes that join all candidates."""
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([np.frombuffer(c.as_buffer(), _ENTRY) for b in batches for c in b.column(1)])
-        o = np.lexsort((rows["cls"], rows["n"], rows["cell"]))
-        rows = rows[o]
-        alone = np.ones(len(rows), bool)
-        same = rows["cell"][1:] == rows["cell"][:-1]
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        rows = rows[~alone]
-        keep = np.ones(len(rows), bool)
-        keep[1:] = (rows["cell"][1:] != rows["cell"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
-        rows = rows[keep]
-        i = np.array(joined_cells(rows), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(rows["cls"][i[:, 0]]), "b": pa.array(rows["cls"][i[:, 1]])})
+        cell, n, pos, cls, sig = (np.concatenate(c) for c in zip(*(unpack_entries(c.as_buffer()) for b in batches for c in b.column(1)), strict=True))
+        _, which, times = np.unique(cell, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero(times[which] > 1)
+        o = keep[np.lexsort((cls[keep], n[keep], cell[keep]))]
+        once = np.ones(len(o), bool)
+        once[1:] = (cell[o][1:] != cell[o][:-1]) | (cls[o][1:] != cls[o][:-1])
+        o = o[once]
+        i = np.array(joined_cells(cell[o], n[o], pos[o], cls[o], sig[o]), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(cls[o][i[:, 0]]), "b": pa.array(cls[o][i[:, 1]])})
 
     return entries.groupBy("part").applyInArrow(join, "a long, b long")
 
