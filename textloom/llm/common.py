@@ -167,15 +167,15 @@ class Words:
         return h
 
 
-def text_slices(batches, text: str = "text"):
-    """(batch slice, texts as large strings with nulls as empty) of about SLICE_BYTES of text each."""
+def text_slices(batches, text: str = "text", size: int = SLICE_BYTES):
+    """(batch slice, texts as large strings with nulls as empty) of about ``size`` bytes of text each."""
     for batch in batches:
         texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at), texts.slice(at, to - at)
             at = to
 

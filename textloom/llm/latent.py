@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import Words, materialize, read_documents, sketch_rows, sum_sketches, text_slices
 
-FEATURES, RANK, PASSAGE, STEP = 1 << 14, 32, 64, 8
+FEATURES, RANK, PASSAGE, STEP = 1 << 14, 64, 64, 8
 ITEM_BLOCK = 8192
 LCS_SHARE, ANSWER_SHARE = 0.5, 0.5
 _PARTS = 64
+#: Bytes of text at once; a word takes 4 * RANK bytes.
+SLICE = 2 << 20
 
 
 def feature(h: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ def document_frequencies(df: DataFrame, text_col: str = "text") -> tuple[np.ndar
 
     def run(batches):
         total = np.zeros(FEATURES + _PARTS, np.int64)
-        for _, texts in text_slices(batches, "t"):
+        for _, texts in text_slices(batches, "t", SLICE):
             f, p, n = _passages(Words(texts))
             keys = np.sort((p * FEATURES + f).astype(np.int32 if n * FEATURES < 1 << 31 else np.int64))
             keys = keys[np.diff(keys, prepend=-1) != 0]
@@ -82,7 +84,7 @@ def range_product(df: DataFrame, idf: np.ndarray, rank: int = RANK, text_col: st
         idf = held.value
         wide = test_matrix(rank) * idf[:, None]
         total = np.zeros((FEATURES, rank), np.float32)
-        for _, texts in text_slices(batches, "t"):
+        for _, texts in text_slices(batches, "t", SLICE):
             f, p, n = _passages(Words(texts))
             if not len(f):
                 continue
@@ -168,7 +170,7 @@ def disturbed_threshold(item: Item, wide: np.ndarray, rng: np.random.Generator)
         g[swap] = rng.integers(0, FEATURES, int(swap.sum()))
         other = wide[g[STEP // 2 :]].sum(axis=0) + wide[rng.integers(0, FEATURES, STEP // 2)].sum(axis=0)
         low = min(low, float(me @ other / (np.linalg.norm(me) * np.linalg.norm(other) + 1e-12)))
-    return min(0.75, max(0.4, low))
+    return min(0.75, max(0.5, low))
 
 
 def search(df: DataFrame, items: list[Item], wide: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -189,7 +191,7 @@ def search(df: DataFrame, items: list[Item], wide: np.ndarray, id_col: str, text
 
     def run(batches):
         wide, packed = held.value
-        for b, texts in text_slices(batches, "t"):
+        for b, texts in text_slices(batches, "t", SLICE):
             w = Words(texts)
             n = len(w.hash)
             if not n:
