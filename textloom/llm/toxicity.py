@@ -146,12 +146,15 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
 
 def labelled_sample(df: DataFrame, labels: DataFrame, usable, id_col: str, text_col: str, sample: int) -> list[tuple[bytes, int]]:
     """At most ``sample`` labelled texts of each class, the first by a hash of the id."""
+    labels = labels.where(usable) if id_col in labels.columns else labels
     known = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    rows = df.where(usable).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(known, "_id")
-    place = F.xxhash64(F.col("_id").cast("string"))
+    known = known.distinct().withColumn("h", F.xxhash64(F.col("_id").cast("string")))
+    texts = df.where(usable).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     out = []
     for y in (0, 1):
-        part = rows.where(F.col("_y") == y).withColumn("h", place).orderBy("h", "t").limit(sample)
+        # the ids are chosen from the labels alone: at most ``sample`` rows are broadcast, no text is shuffled
+        ids = known.where(F.col("_y") == y).orderBy("h", "_id").limit(sample).select("_id", "h")
+        part = texts.join(F.broadcast(ids), "_id").orderBy("h", "t").limit(sample)
         out += [(r["h"], r["t"].lower().encode("utf-8", "replace"), y) for r in part.select("h", "t").collect()]
     return [(t, y) for _, t, y in sorted(out)]
 
