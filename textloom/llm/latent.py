@@ -34,8 +34,8 @@ FEATURES, RANK, PASSAGE, STEP = 1 << 14, 64, 64, 8
 ITEM_BLOCK = 8192
 LCS_SHARE, ANSWER_SHARE = 0.5, 0.5
 _PARTS = 64
-#: Bytes of text at once; a word takes 4 * RANK bytes.
-SLICE = 2 << 20
+#: Bytes of text at once; a word takes 4 * RANK bytes, and the arrays of a slice should fit in a core's cache.
+SLICE = 32 << 10
 
 
 def feature(h: np.ndarray) -> np.ndarray:
