@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import kdtree, latent, lines, media, packing, pii, reply_trees, simhash, toxicity, warc
+from textloom.llm import kdtree, latent, lines, media, packing, pii, reply_trees, simhash, toxicity, toxicity_selection, warc
 from textloom.llm.common import connected_components, ordered_slots
 
 rnd = random.Random(3)
@@ -452,6 +452,19 @@ def test_toxicity_held_out_accuracy(spark):
     assert {x["score"] for x in toxicity.score_texts(df.limit(3), toxicity.fitted(df, known.limit(0))).collect()} == {0.0}
 
 
+def test_selection_never_reads_held_out_labels(spark):
+    r = random.Random(11)
+    texts = [prose(40, r) + (" scoundrel vermin" if i % 3 == 0 else "") for i in range(300)]
+    df = docs(spark, texts)
+    # a held-out row that carries a word of its own
+    marked = df.withColumn("text", F.when(toxicity.held_out(), F.concat("text", F.lit(" heldout"))).otherwise(F.col("text")))
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    folds = [toxicity.labelled_sample(marked, known, toxicity.fold().isin(f), "doc_id", "text", 1000) for f in ([0, 1], [3])]
+    assert all(folds) and not any(b"heldout" in t for rows in folds for t, _ in rows)
+    assert sum(map(len, folds)) == df.where(~toxicity.held_out()).count()
+    assert toxicity_selection.figures(np.array([0.9, 0.4, 0.1, 0.2]), np.array([1, 0, 0, 1])) == (0.5, 0.5, 0.5, 0.75)
+
+
 # --- 10: media ---
 
 

@@ -3,7 +3,7 @@
 Two zstandard dictionaries are made from labelled text: one trained on ordinary windows, one of what
 marks toxic texts off (word stems whose document frequency differs by a likelihood-ratio test) in front
 of the ordinary one. Every whole text is lower-cased and cut into
-windows of about WINDOW bytes at white space; each window is compressed with both. Where a window is
+windows of about 96 bytes at white space; each window is compressed with both. Where a window is
 ordinary, both lengths agree; where it is toxic, the second is shorter. The differences of a text
 (largest, number, share) are weighed by a logistic model fitted on labelled texts that the dictionaries have
 not seen, and shifted so that the best F1 there falls at a score of THRESHOLD.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,31 @@ from pyspark.sql import functions as F
 
 from .common import read_documents
 
-WINDOW, DICT_BYTES, LEVEL = 64, 2048, 6
 SAMPLE = 6000
 THRESHOLD = 0.3
-LEAST_G2, LEAST_RATIO, LEAST_SHARE = 50.0, 10.0, 0.03
 _WORD = re.compile(rb"[a-z\x80-\xff]{4,}")
 
 
-def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
+@dataclass(frozen=True)
+class Settings:
+    """What ``toxicity_selection`` chooses, on rows that are not held out.
+
+    ``marked``: "stems", or "windows" for a dictionary trained on toxic windows instead.
+    """
+
+    window: int = 96
+    dict_bytes: int = 8192
+    level: int = 9
+    least_g2: float = 50.0
+    least_ratio: float = 10.0
+    least_share: float = 0.03
+    marked: str = "stems"
+
+
+SETTINGS = Settings()
+
+
+def windows(text: bytes, size: int = SETTINGS.window) -> list[bytes]:
     """The text in pieces of at most ``size`` bytes, cut before white space where there is some."""
     out, at = [], 0
     while at < len(text):
@@ -50,7 +68,7 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return out or [b""]
 
 
-def stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+def stems(toxic: list[bytes], ordinary: list[bytes], settings: Settings = SETTINGS) -> list[bytes]:
     """Word beginnings that mark toxic texts; the strongest last."""
 
     def count(texts):
@@ -63,11 +81,11 @@ def stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     scored = []
     for w, x in a.items():
         y = b.get(w, 0)
-        if x < max(3, LEAST_SHARE * n) or x / n < LEAST_RATIO * (y + 0.5) / m:
+        if x < max(3, settings.least_share * n) or x / n < settings.least_ratio * (y + 0.5) / m:
             continue
         cells = ((x, n * (x + y)), (y, m * (x + y)), (n - x, n * (n + m - x - y)), (m - y, m * (n + m - x - y)))
         g2 = 2 * sum(o * np.log(o * (n + m) / e) for o, e in cells if o)
-        if g2 >= LEAST_G2:
+        if g2 >= settings.least_g2:
             scored.append((g2, len(w), w))
     chosen: list[bytes] = []
     for _, _, w in sorted(scored, reverse=True):
@@ -79,24 +97,25 @@ def stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 class Model:
     """Both dictionaries, and the weights of the calibrated score."""
 
-    def __init__(self, marked: bytes, ordinary: bytes):
-        self.marked, self.ordinary = marked, ordinary
+    def __init__(self, marked: bytes, ordinary: bytes, settings: Settings = SETTINGS):
+        self.marked, self.ordinary, self.settings = marked, ordinary, settings
         self.weights = np.zeros(0)
         self.mean = self.spread = np.zeros(0)
 
     def compressors(self):
+        level = self.settings.level
+
         def make(content):
             if len(content) < 8:
-                return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+                return zstandard.ZstdCompressor(level=level, write_content_size=False)
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False)
+            d.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False)
 
         return make(self.ordinary).compress, make(self.marked + self.ordinary).compress
 
-    @staticmethod
-    def features(text: bytes, plain, marked) -> list[float]:
-        d = np.array([len(plain(w)) - len(marked(w)) for w in windows(text)], np.float64)
+    def features(self, text: bytes, plain, marked) -> list[float]:
+        d = np.array([len(plain(w)) - len(marked(w)) for w in windows(text, self.settings.window)], np.float64)
         top = np.sort(d)[::-1]
         n = len(d)
         return [min(top[0], 8.0), top[:3].clip(0, 8).mean(), np.log1p((d >= 1).sum()), np.log1p((d >= 2).sum()), np.log1p((d >= 3).sum()), np.log1p((d >= 4).sum()), d.clip(0).mean(), (d >= 2).mean(), float(np.log(n))]
@@ -125,20 +144,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: list[tuple[bytes, int]]) -> Model:
+def trained(texts: list[bytes], settings: Settings) -> bytes:
+    """A zstandard dictionary of the windows of some texts."""
+    samples = [w for t in texts for w in windows(t, settings.window)]
+    samples = samples[:: max(1, len(samples) // 20000)]
+    try:
+        return zstandard.train_dictionary(settings.dict_bytes, samples).as_bytes()[-settings.dict_bytes :]
+    except zstandard.ZstdError:  # too little text to train on
+        return b" ".join(samples)[-settings.dict_bytes :]
+
+
+def train(rows: list[tuple[bytes, int]], settings: Settings = SETTINGS) -> Model:
     """A model from (lower-cased text, label) rows: two thirds make the dictionaries, a third calibrates."""
     fit = [r for i, r in enumerate(rows) if i % 3 < 2]
     toxic, ordinary = [t for t, y in fit if y], [t for t, y in fit if not y]
     rest = [r for i, r in enumerate(rows) if i % 3 == 2]
     if not toxic or not ordinary or len({y for _, y in rest}) < 2:
-        return Model(b"", b"")
-    samples = [w for t in ordinary for w in windows(t)]
-    samples = samples[:: max(1, len(samples) // 20000)]
-    try:
-        plain = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()[-DICT_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        plain = b" ".join(samples)[-DICT_BYTES:]
-    model = Model(b"".join(b" " + w for w in stems(toxic, ordinary)) + b"\0", plain)
+        return Model(b"", b"", settings)
+    if settings.marked == "windows":
+        marked = trained(toxic, settings)
+    else:
+        marked = b"".join(b" " + w for w in stems(toxic, ordinary, settings)) + b"\0"
+    model = Model(marked, trained(ordinary, settings), settings)
     a, b = model.compressors()
     model.fit(np.array([model.features(t, a, b) for t, _ in rest]), np.array([float(y) for _, y in rest]))
     return model
@@ -174,9 +201,13 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def fold(id_col: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
+
+
 def held_out(id_col: str = "doc_id"):
     """The rows whose labels are never looked at."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+    return fold(id_col) == 2
 
 
 def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
