@@ -287,6 +287,31 @@ def test_latent_finds_leaks_and_paraphrases(spark):
     assert latent.leaks(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def planted_recall(spark, lengths, share, each=60):
+    """Of planted copies that a word-by-word scan accepts, the part that is found."""
+    r = random.Random(12)
+    texts, items = [prose(300, r) for _ in range(300)], []
+    want = set()
+    for n in lengths:
+        for _ in range(each):
+            w = prose(n, r).split()
+            copy = [r.choice(WORDS) if r.random() < share else x for x in w]
+            item = latent.Item(len(items), " ".join(w))
+            text = " ".join([prose(r.randint(60, 120), r), *copy, prose(120, r)])
+            words = latent.Words(latent.pa.array([text], latent.pa.large_string())).hash.tolist()
+            if latent.common_subsequence(item.whole, item.n, words) >= item.n / 2 and latent.common_subsequence(item.answer, item.n_answer, words) >= item.n_answer / 2:
+                want.add((len(texts), item.ident))
+            texts.append(text)
+            items.append(" ".join(w))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in latent.leaks(docs(spark, texts), bench).collect()}
+    return len(got & want) / len(want)
+
+
+def test_latent_recall_of_short_paraphrases(spark):
+    assert planted_recall(spark, (15, 17, 20, 22), 0.25) >= 0.95
+
+
 def test_randomised_svd_finds_the_factors():
     rng = np.random.default_rng(0)
     a = rng.standard_normal((300, 5)) @ rng.standard_normal((5, latent.FEATURES))

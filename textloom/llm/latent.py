@@ -7,10 +7,11 @@ through the whitened factors V/S.
 
 Search: for each length class of benchmark items, windows of that many words slide over every whole
 text, by prefix sums of the word factors; all items of the class are compared with all windows by cosine.
-An item's threshold is the least cosine that disturbed copies of it (a quarter of the words replaced, shifted
-by half a stride) reach. Each candidate is checked on the words: the longest common subsequence with the
-item must hold half of it, and that with its answer (the last sentence, or last quarter) half of
-that.
+An item's threshold is the least cosine that windows
+half a block off disturbed copies of it (a quarter of the words replaced by words of the corpus) reach, however low.
+Each candidate is checked on the words: the longest common subsequence with the item must hold half of it, and that
+with its answer (the last sentence, or last quarter) half of that. Candidates whose span holds too few words of the
+item for that are dropped first, by an exact bound.
 
 Defined cases: a null or empty text has no words and no finding; an item without words is never found;
 repeated rows are found each; repeated items are found each; empty tables give no rows. A null id is carried. Other
@@ -36,6 +37,8 @@ LCS_SHARE, ANSWER_SHARE = 0.5, 0.5
 _PARTS = 64
 #: Bytes of text at once; a word takes 4 * RANK bytes, and the arrays of a slice should fit in a core's cache.
 SLICE = 32 << 10
+#: Disturbed copies of an item that its threshold is the least of.
+TRIALS = 96
 
 
 def feature(h: np.ndarray) -> np.ndarray:
@@ -159,61 +162,106 @@ def common_subsequence(mask: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def disturbed_threshold(item: Item, wide: np.ndarray, rng: np.random.Generator) -> float:
-    """The least cosine of an item with copies of it that are shifted and have words replaced."""
+class Cover:
+    """How many words of an item a span of a slice can hold at most, for many pairs of both at once.
+
+    The longest common subsequence is no longer than that, so what falls short needs no word check.
+    """
+
+    def __init__(self, items: list[Item]):
+        self.vocab = np.unique(np.concatenate([it.words for it in items]))
+        self.bits = np.zeros((len(self.vocab) + 1, -(-len(items) // 8)), np.uint8)
+        for j, it in enumerate(items):
+            self.bits[np.searchsorted(self.vocab, list(it.whole)), j >> 3] |= 1 << (j & 7)
+        self.spare = np.array([it.n - len(it.whole) for it in items])
+
+    def place(self, words: np.ndarray) -> None:
+        """Take the words of a slice."""
+        at = np.searchsorted(self.vocab, words)
+        self.at = np.where(self.vocab[np.minimum(at, len(self.vocab) - 1)] == words, at, len(self.vocab))
+        order = np.argsort(words, kind="stable")
+        same = np.flatnonzero(words[order[1:]] == words[order[:-1]])
+        self.before = np.full(len(words), -1)
+        self.before[order[same + 1]] = order[same]
+
+    def most(self, start: np.ndarray, stop: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = self.spare[j]
+        for c in range(0, len(j), 1024):
+            a, z, k = (x[c : c + 1024, None] for x in (start, stop, j))
+            pos = a + np.arange(int((z - a).max()))
+            first = pos < z
+            np.minimum(pos, len(self.at) - 1, out=pos)
+            first &= self.before[pos] < a
+            out[c : c + 1024] += (first & (self.bits[self.at[pos], k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)).sum(axis=1)
+        return out
+
+
+def disturbed_threshold(item: Item, wide: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> float:
+    """The least cosine of an item with windows that lie half a stride off a copy with words replaced.
+
+    Other words are drawn as often as the corpus has them; ``share`` adds up the parts of the features.
+    """
     f = feature(item.words)
     me = wide[f].sum(axis=0)
     low = 1.0
-    for _ in range(24):
-        g = f.copy()
-        swap = rng.random(len(g)) < 0.25
-        g[swap] = rng.integers(0, FEATURES, int(swap.sum()))
-        other = wide[g[STEP // 2 :]].sum(axis=0) + wide[rng.integers(0, FEATURES, STEP // 2)].sum(axis=0)
+    for k in range(TRIALS):
+        around = np.searchsorted(share, rng.random(len(f) + 2 * item.window), "right")
+        own = rng.random(len(f)) >= 0.25
+        around[item.window : item.window + len(f)][own] = f[own]
+        at = item.window + (STEP // 2 if k % 2 else -STEP // 2)
+        other = wide[around[at : at + item.window]].sum(axis=0)
         low = min(low, float(me @ other / (np.linalg.norm(me) * np.linalg.norm(other) + 1e-12)))
-    return min(0.75, max(0.5, low))
+    return min(0.75, low)
 
 
-def search(df: DataFrame, items: list[Item], wide: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def search(df: DataFrame, items: list[Item], wide: np.ndarray, counts: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, item_id, cosine, lcs, answer): the checked findings, the best of each document and item."""
     rng = np.random.default_rng(60)
+    share = np.cumsum(counts) / max(1, counts.sum())
+    share[share >= share[-1]] = 1
     classes: dict[int, list[Item]] = {}
     for it in items:
         if it.n:
             classes.setdefault(it.window, []).append(it)
-    packed = []
+    packed, base = [], 0
     for window, members in sorted(classes.items()):
         m = np.stack([wide[feature(it.words)].sum(axis=0) for it in members])
         m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-12
-        packed.append((window, members, m.T.astype(np.float32), np.array([disturbed_threshold(it, wide, rng) for it in members], np.float32)))
-    held = df.sparkSession.sparkContext.broadcast((wide, packed))
+        packed.append((window, members, m.T.astype(np.float32), np.array([disturbed_threshold(it, wide, share, rng) for it in members], np.float32), base))
+        base += len(members)
+    held = df.sparkSession.sparkContext.broadcast((wide, packed, Cover([it for p in packed for it in p[1]]) if packed else None))
     kind = dict(df.dtypes)[id_col]
     names = ["id", "item_id", "cosine", "lcs", "answer"]
 
     def run(batches):
-        wide, packed = held.value
+        wide, packed, cover = held.value
         for b, texts in text_slices(batches, "t", SLICE):
             w = Words(texts)
             n = len(w.hash)
-            if not n:
+            if not n or not packed:
                 continue
+            cover.place(w.hash)
             blocks = np.add.reduceat(wide[feature(w.hash)], np.arange(0, n, STEP))
             sums = np.zeros((len(blocks) + 1, wide.shape[1]))
             np.cumsum(blocks, axis=0, out=sums[1:])
             best: dict[tuple[int, int], tuple] = {}
-            for window, members, m, limit in packed:
+            for window, members, m, limit, base in packed:
                 k, stride = window // STEP, max(1, window // (4 * STEP))
                 lo = np.arange(0, max(1, len(blocks) - k + stride), stride)
                 hi = np.minimum(lo + k, len(blocks))
                 v = (sums[hi] - sums[lo]).astype(np.float32)
                 v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-12
                 cos = v @ m
-                for i, j in zip(*(x.tolist() for x in np.nonzero(cos >= limit)), strict=True):
+                margin = window // 4 + STEP
+                near, which = np.nonzero(cos >= limit)
+                most = cover.most(np.maximum(lo[near] * STEP - margin, 0), np.minimum(hi[near] * STEP + margin, n), base + which)
+                enough = most >= LCS_SHARE * np.array([it.n for it in members])[which]
+                for i, j in zip(near[enough].tolist(), which[enough].tolist(), strict=True):
                     it = members[j]
                     a, z = int(lo[i]) * STEP, min(n, int(hi[i]) * STEP)
                     c = float(cos[i, j])
                     for d in set(np.searchsorted(w.first, [a, (a + z) // 2, z - 1], "right").tolist()):
                         d -= 1
-                        margin = window // 4 + STEP
                         words = w.hash[max(a - margin, w.first[d]) : min(z + margin, w.first[d + 1])].tolist()
                         got = common_subsequence(it.whole, it.n, words)
                         if got >= LCS_SHARE * it.n:
@@ -239,7 +287,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     out, block = None, []
 
     def flush(out):
-        part = search(df, block, wide, id_col, text_col)
+        part = search(df, block, wide, counts, id_col, text_col)
         return part if out is None else out.union(part)
 
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
