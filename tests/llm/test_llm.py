@@ -312,6 +312,10 @@ def test_latent_recall_of_short_paraphrases(spark):
     assert planted_recall(spark, (15, 17, 20, 22), 0.25) >= 0.95
 
 
+def test_latent_recall_of_long_items(spark):
+    assert planted_recall(spark, (60, 90, 120, 200, 300), 0.25) >= 0.995
+
+
 def test_randomised_svd_finds_the_factors():
     rng = np.random.default_rng(0)
     a = rng.standard_normal((300, 5)) @ rng.standard_normal((5, latent.FEATURES))

@@ -7,7 +7,7 @@ through the whitened factors V/S.
 
 Search: for each length class of benchmark items, windows of that many words slide over every whole
 text, by prefix sums of the word factors; all items of the class are compared with all windows by cosine.
-An item's threshold is the least cosine that windows
+Windows of all classes move by one block of STEP words. An item's threshold is the least cosine that windows
 half a block off disturbed copies of it (a quarter of the words replaced by words of the corpus) reach, however low.
 Each candidate is checked on the words: the longest common subsequence with the item must hold half of it, and that
 with its answer (the last sentence, or last quarter) half of that. Candidates whose span holds too few words of the
@@ -246,8 +246,8 @@ def search(df: DataFrame, items: list[Item], wide: np.ndarray, counts: np.ndarra
             np.cumsum(blocks, axis=0, out=sums[1:])
             best: dict[tuple[int, int], tuple] = {}
             for window, members, m, limit, base in packed:
-                k, stride = window // STEP, max(1, window // (4 * STEP))
-                lo = np.arange(0, max(1, len(blocks) - k + stride), stride)
+                k = window // STEP
+                lo = np.arange(max(1, len(blocks) - k + 1))
                 hi = np.minimum(lo + k, len(blocks))
                 v = (sums[hi] - sums[lo]).astype(np.float32)
                 v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-12
