@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textloom.llm import kdtree, latent, lines, media, packing, pii, reply_trees, simhash, toxicity, toxicity_selection, warc
 from textloom.llm.common import connected_components, ordered_slots
 
@@ -451,6 +452,13 @@ def test_simhash_components_against_brute_force(spark, chunk, monkeypatch):
         assert simhash.components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_pipeline_drops_exact_copies_that_line_dedup_emptied(spark):
+    texts = [prose(30), prose(40) + "\n" + prose(20)]
+    texts += [texts[1], prose(25), texts[0], texts[1], "", None]
+    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, lines.dedup_lines(docs(spark, texts)), "").collect()}
+    assert kept == {0, 1, 2, 3}  # 2 is the first of those without words
+
+
 # --- 9: toxicity ---
 
 

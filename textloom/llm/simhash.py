@@ -180,14 +180,14 @@ def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read_documents(spark, sf_dir))
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wordless: bool = False) -> DataFrame:
     """``df`` with one document of each component, that with the least id; all columns stay.
 
-    A text that lost all its words is no copy of other such texts: these stay. Where rows repeat an id
-    that stays, or ids are null, one row of equal ids stays.
+    Texts without words all stay, unless ``wordless``: then they are one group by their fingerprint zero, as in
+    ``components``. Where rows repeat an id that stays, or ids are null, one row of equal ids stays.
     """
     blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    texts = df.where(~blank)
+    texts = df if wordless else df.where(~blank)
     first = components(texts, id_col, text_col)
     gone = materialize(first.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct(), "simhash-gone")
     kept = df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
