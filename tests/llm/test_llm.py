@@ -124,6 +124,19 @@ def test_pii_later_attempts_reach_the_text(spark, monkeypatch):
     assert got[1] == pii.render("Mr. Paul Birch", "name", pii.surrogate("m|paul|birch", "name", 0))
 
 
+def test_pii_names_stay_distinct_when_the_lists_are_used_up(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
+    people = [f"Mr. {g}" for g in pii.GIVEN["latin", "m"]] + [f"Госпожа {g}" for g in pii.GIVEN["cyrillic", "f"]] + ["Mr. Barbarbarbarden", "Mr. Paul Smith"]
+    found = pii.entities(docs(spark, [", ".join(people)]), "doc_id", "text")
+    drawn = pii.resolve(found, pii.KEY).collect()
+    canons = {r["canon"] for r in drawn}
+    shown = {r["new"].replace("||", "|").rstrip("|") for r in drawn}
+    assert len(drawn) == len(people) == len(shown) and not {c.replace("||", "|").rstrip("|") for c in canons} & shown
+    out = pii.replace_pii(docs(spark, [", ".join(people)])).first()["text"].split(", ")
+    assert len(set(out)) == len(people) and not set(out) & set(people)
+    assert all(o.split()[0] == p.split()[0] for o, p in zip(out, people, strict=True))
+
+
 # --- 2: WARC ---
 
 

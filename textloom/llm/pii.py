@@ -10,8 +10,11 @@ Digits and letters are replaced by keyed Feistel permutations of all strings of
 different entities cannot get equal surrogates; card numbers keep their Luhn property, IPv4 addresses
 their private range. Given names are drawn by key from lists by gender and script and family names are
 built from syllables; those can collide. The collision check compares all distinct entities: a surrogate
-that two entities share, or that is itself an entity of the corpus, is drawn again under the next attempt number,
-until none is left. The entities with a later attempt reach their documents by a join on the id.
+that two entities share, or that is itself an entity of the corpus, is drawn again under the next attempt number.
+Names that still clash after MAX_ATTEMPTS are numbered, and the number is spelt in syllables, more of them than any
+name of the corpus or of the draws has; a title keeps the gender of a given name made so. If a clash is left then
+(values of other kinds can use up all strings of their shape), an error is raised.
+The entities with a later attempt reach their documents by a join on the id.
 
 Defined cases: a null text stays null; an empty text stays empty; repeated rows get equal texts; a null id
 works; a text without entities is left alone to the byte; an empty table gives no rows. Columns other
@@ -27,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents
+from .common import materialize, ordered_slots, read_documents
 
 KEY = b"textloom surrogate key 1"
 MAX_ATTEMPTS = 20
+#: Attempts from here on are numbers of names; in base 16 they have at least five digits, a drawn name has four syllables.
+NUMBERED = 16**4
 
 # fixed values: titles, given names and syllables, by script and gender
 TITLES = {
@@ -204,6 +209,11 @@ def surrogate(canon: str, kind: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "name":
         gender, given, rest = canon.split("|")
         script = "cyrillic" if re.search(r"[а-яё]", given + rest) else "latin"
+        if attempt >= NUMBERED:
+            digits = permute([int(c, 16) for c in f"{attempt:x}"], [16] * len(f"{attempt:x}"), key, f"name:{script}")
+            spelt = "".join(SYLLABLES[script][d] for d in digits)
+            if not rest:
+                return f"{gender}|{spelt}|"
         drawn = _round(key, tweak, canon)
         if gender == "n":
             drawn, g = divmod(drawn, 2)
@@ -215,7 +225,7 @@ def surrogate(canon: str, kind: str, attempt: int = 0, key: bytes = KEY) -> str:
         for _ in range(4):
             drawn, j = divmod(drawn, 16)
             family += SYLLABLES[script][j]
-        return f"{gender}|{names[i].casefold() if given else ''}|{family if rest else ''}"
+        return f"{gender}|{names[i].casefold() if given else ''}|{(spelt if attempt >= NUMBERED else family) if rest else ''}"
     return reshape(canon.lower(), key, tweak).upper()
 
 
@@ -277,23 +287,38 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
             new = [surrogate(c, k, a, key) for k, c, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(new, pa.string())], ["kind", "canon", "attempt", "new"])
 
-    return rows.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, new string")
+    return rows.select("kind", "canon", F.col("attempt").cast("long")).mapInArrow(run, "kind string, canon string, attempt long, new string")
+
+
+def _numbered(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with numbers as the attempts of names: their spelling is longer than that of any known name."""
+    syllables = "|".join(s for names in SYLLABLES.values() for s in names)
+    spelt = [F.regexp_extract("canon", like, 1) for like in (rf"^[^|]*\|((?:{syllables})+)\|", rf"\|((?:{syllables})+)$")]
+    longest = known.where("kind = 'name'").agg(F.max(F.greatest(*(F.length(s) for s in spelt)))).first()[0] or 0
+    first = 16 ** max(4, longest // 3)
+    names = ordered_slots(rows.where("kind = 'name'"), "kind", ["canon"], "slot", "pii-numbered")
+    return rows.where("kind <> 'name'").union(names.select("kind", "canon", (F.lit(first) + F.col("slot")).alias("attempt")))
 
 
 def resolve(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, attempt, new) of all distinct entities, without collisions."""
+    """(kind, canon, attempt, new) of all distinct entities, without collisions; raises if there is no such."""
     known = materialize(found.select("kind", "canon").distinct(), "pii-entities")
     drawn = materialize(_drawn(known.withColumn("attempt", F.lit(0)), key), "pii-drawn")
-    for _ in range(MAX_ATTEMPTS):
+    for left in range(MAX_ATTEMPTS + 1, -1, -1):
         taken = known.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
         least = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
         clash = least.join(taken, ["kind", "new"], "left").where("n > 1 or real").select("kind", "new", "first", F.coalesce("real", F.lit(False)).alias("real"))
         clash = materialize(clash, "pii-clashes")
         if clash.isEmpty():
             break
+        if not left:
+            raise ValueError(f"surrogates still clash: {clash.groupBy('kind').count().collect()}")
         # the first of a clash keeps its surrogate unless that is an entity; the others draw again
         marked = drawn.join(clash, ["kind", "new"], "left").withColumn("again", F.coalesce(F.col("real") | (F.struct("attempt", "canon") != F.col("first")), F.lit(False)))
-        redo = _drawn(marked.where("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key)
+        redo = marked.where("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        if left == 1:
+            redo = _numbered(redo, known)
+        redo = _drawn(redo, key)
         drawn = materialize(marked.where("not again").select("kind", "canon", "attempt", "new").union(redo), "pii-drawn")
     return drawn
 
