@@ -310,7 +310,7 @@ def planted_recall(spark, lengths, share, each=60):
         for _ in range(each):
             w = prose(n, r).split()
             copy = [r.choice(WORDS) if r.random() < share else x for x in w]
-            item = latent.Item(len(items), " ".join(w))
+            item = latent.Item.of(len(items), " ".join(w))
             text = " ".join([prose(r.randint(60, 120), r), *copy, prose(120, r)])
             words = latent.Words(latent.pa.array([text], latent.pa.large_string())).hash.tolist()
             if latent.common_subsequence(item.whole, item.n, words) >= item.n / 2 and latent.common_subsequence(item.answer, item.n_answer, words) >= item.n_answer / 2:
@@ -322,6 +322,89 @@ def planted_recall(spark, lengths, share, each=60):
     return len(got & want) / len(want)
 
 
+def every_window(texts, rows, wide):
+    """The findings of all windows of all documents, one after the other."""
+    out, step = {}, latent.STEP
+    for d, t in enumerate(texts):
+        w = latent.Words(latent.pa.array([t or ""], latent.pa.large_string())).hash
+        if not len(w):
+            continue
+        for r in rows:
+            it = latent.Item(r["item_id"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["tail"], np.uint64))
+            me = np.frombuffer(r["vector"], np.float32).astype(float)
+            margin = it.window // 4 + step
+            n_blocks = -(-len(w) // step)
+            for b in range(max(1, n_blocks - it.window // step + 1)):
+                a, z = b * step, min(len(w), b * step + it.window)
+                v = wide[latent.feature(w[a:z])].astype(float).sum(axis=0)
+                if round(float(v @ me) / (np.linalg.norm(v) + 1e-12), 6) < round(r["threshold"], 6):
+                    continue
+                span = w[max(0, a - margin) : z + margin].tolist()
+                got, end = latent.common_subsequence(it.whole, it.n, span), latent.common_subsequence(it.answer, it.n_answer, span)
+                if got >= it.n / 2 and end >= it.n_answer / 2:
+                    out[d, it.ident] = max(out.get((d, it.ident), (0, 0)), (got / it.n, end / it.n_answer))
+    return out
+
+
+@pytest.mark.parametrize("run", [4096, 16])
+def test_latent_search_against_every_window(spark, run, monkeypatch):
+    r = random.Random(21)
+    items = [prose(n, r) for n in (1, 2, 5, 9, 12, 17, 30, 30, 47, 100, 260)] + [None, "?!"]
+    items[7] = items[6]
+    texts = [prose(r.randint(0, 60), r) for _ in range(60)]
+    for i, item in enumerate(items[:11]):
+        w = item.split()
+        texts += [item, prose(3, r) + " " + item, prose(333, r) + "\n" + " ".join(x if r.random() > 0.25 else r.choice(WORDS) for x in w) + " " + prose(50, r), " ".join(w[: len(w) // 2])]
+    texts += EDGES
+    df, bench = docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    counts, passages = latent.document_frequencies(df)
+    idf = latent.inverse_frequencies(counts, passages)
+    v, s = latent.factors(latent.range_product(df, idf))
+    wide = (v / s * idf[:, None]).astype(np.float32)
+    rows = latent.item_rows(bench, wide, counts, "item_id", "text").collect()
+    assert [x["item_id"] for x in rows] == list(range(11))
+    monkeypatch.setattr(latent, "RUN", run)
+    searcher = latent.Searcher([(latent.Item(x["item_id"], np.frombuffer(x["words"], np.uint64), np.frombuffer(x["tail"], np.uint64)), np.frombuffer(x["vector"], np.float32), x["threshold"]) for x in rows], wide)
+    found = searcher.find(latent.Words(latent.pa.array([t or "" for t in texts], latent.pa.large_string())))
+    got = {(d, it.ident): (lcs, end) for d, it, lcs, end, _ in found}
+    want = every_window(texts, rows, wide)
+    assert got == want and len(got) > 35
+
+
+def test_latent_results_do_not_hang_on_the_layout(spark):
+    r = random.Random(22)
+    items = [prose(n, r) for n in (9, 20, 40)]
+    texts = [prose(r.randint(1, 200), r) for _ in range(80)] + [prose(20, r) + " " + i for i in items] + [prose(9000, r) + items[2]] + EDGES
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = docs(spark, texts)
+    found = [sorted(map(tuple, latent.leaks(df.repartition(n), bench).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) >= 4
+
+
+def test_latent_finds_short_items_in_one_line_texts(spark):
+    r = random.Random(23)
+    items = [prose(r.randint(8, 13), r) for _ in range(120)]
+    texts = [prose(r.randint(3, 30), r) for _ in range(600)]
+    want = set()
+    for i, item in enumerate(items):
+        want.add((len(texts), i))
+        texts.append(" ".join([prose(r.randint(0, 6), r), item, prose(r.randint(0, 6), r)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in latent.leaks(docs(spark, texts), bench).collect()}
+    assert len(got & want) / len(want) >= 0.95 and len(got - want) <= 3
+
+
+def test_latent_clashing_columns_and_null_ids(spark):
+    r = random.Random(24)
+    item = prose(20, r)
+    rows = [(1, item, "x"), (None, item, "y"), (None, prose(30, r), "z"), (2, prose(30, r), "z"), (2, prose(30, r), "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _bad string").withColumns({"_id": F.lit(1), "item_id": F.lit(2), "id": F.lit(3), "t": F.lit(4)})
+    bench = spark.createDataFrame([(7, item), (None, item)], "item_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["item_id"] or 0) for x in latent.leaks(df, bench).collect()) == [(0, 0), (0, 7), (1, 0), (1, 7)]
+    assert [x["doc_id"] for x in latent.decontaminate(df, bench).collect()] == [2, 2]
+    assert latent.decontaminate(df, bench).columns == df.columns
+
+
 def test_latent_recall_of_short_paraphrases(spark):
     assert planted_recall(spark, (15, 17, 20, 22), 0.25) >= 0.95
 

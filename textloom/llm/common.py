@@ -30,6 +30,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *bases: str):
+    """A column name that ``df`` does not have (names compare without case), or one for each base."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for base in bases:
+        name, n = f"_{base}", 0
+        while name.lower() in taken:
+            name, n = f"_{base}{n}", n + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,17 +6,21 @@ tasks of fixed size, and W'B and B give the right singular vectors V and values
 through the whitened factors V/S.
 
 Search: for each length class of benchmark items, windows of that many words slide over every whole
-text, by prefix sums of the word factors; all items of the class are compared with all windows by cosine.
-Windows of all classes move by one block of STEP words. An item's threshold is the least cosine that windows
+text, one block of STEP words at a time and never over the end of a document (a shorter one is one window);
+all items of the class are compared with all windows by cosine. An item's threshold is the least cosine that windows
 half a block off disturbed copies of it (a quarter of the words replaced by words of the corpus) reach, however low.
 Each candidate is checked on the words: the longest common subsequence with the item must hold half of it, and that
 with its answer (the last sentence, or last quarter) half of that. Candidates whose span holds too few words of the
-item for that are dropped first, by an exact bound.
+item for that are dropped first, by exact bounds.
+
+Results do not hang on the layout: passages, blocks and windows start anew in every document, sums over tasks are
+of integers, and the cosines that decide are rounded after a sum of fixed order.
 
 Defined cases: a null or empty text has no words and no finding; an item without words is never found;
-repeated rows are found each; repeated items are found each; empty tables give no rows. A null id is carried. Other
-columns are not looked at. Items are taken in blocks of ITEM_BLOCK, each a pass over the texts, so
-what is broadcast is bounded.
+repeated rows are found each; repeated items are found each; of equally good windows of a document the greatest
+cosine is told; empty tables give no rows. A null id is carried. A very long text is searched whole, in runs of
+RUN blocks that overlap by a window. Other columns are not looked at, whatever their names. Items are taken in blocks
+of ITEM_BLOCK, each a pass over the texts, so what is broadcast is bounded; it is freed after the pass.
 """
 
 from __future__ import annotations
@@ -29,14 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, read_documents, sketch_rows, sum_sketches, text_slices
+from .common import Words, fresh, materialize, read_documents, sketch_rows, sum_sketches, text_slices
 
 FEATURES, RANK, PASSAGE, STEP = 1 << 14, 64, 64, 8
-ITEM_BLOCK = 8192
+ITEM_BLOCK = 2048
+#: Blocks searched at once.
+RUN = 4096
+#: Fixed point of the sums that make up B.
+SCALE = 1 << 12
+#: Up to so many passages, a slice's part of B is a product of dense matrices.
+DENSE = 256
 LCS_SHARE, ANSWER_SHARE = 0.5, 0.5
 _PARTS = 64
-#: Bytes of text at once; a word takes 4 * RANK bytes, and the arrays of a slice should fit in a core's cache.
-SLICE = 32 << 10
+#: Bytes of text at once, in the passes over passages and in the search; the arrays of a slice should fit in a core's cache.
+SLICE, SEARCH_SLICE = 64 << 10, 128 << 10
 #: Disturbed copies of an item that its threshold is the least of.
 TRIALS = 96
 
@@ -54,6 +64,36 @@ def _passages(w: Words):
     return feature(w.hash), np.repeat(base, n) + pos // PASSAGE, int(per.sum())
 
 
+def _blocks(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, first word) of each block of STEP words; blocks start anew in every row."""
+    per = -(-np.diff(w.first) // STEP)
+    row = np.repeat(np.arange(len(per)), per)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    return row, place, w.first[row] + place * STEP
+
+
+def block_sums(wide: np.ndarray, features: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows of ``wide``, whose last row is zero, added up word after word in each block (float32).
+
+    A block's sum is the same wherever it stands.
+    """
+    out = np.empty((len(first), wide.shape[1]), np.float32)
+    padded = np.append(features, np.zeros(STEP, np.int64))
+    for a in range(0, len(first), 1024):
+        b = slice(a, min(a + 1024, len(first)))
+        part = out[b]
+        np.take(wide, padded[first[b]], axis=0, out=part, mode="clip")
+        more = np.empty_like(part)
+        for j in range(1, STEP):
+            np.take(wide, np.where(size[b] > j, padded[first[b] + j], len(wide) - 1), axis=0, out=more, mode="clip")
+            part += more
+    return out
+
+
+def with_zero(wide: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.vstack([wide, np.zeros((1, wide.shape[1]), np.float32)]))
+
+
 def document_frequencies(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     """(passages that hold each feature, passages)."""
 
@@ -85,36 +125,49 @@ def range_product(df: DataFrame, idf: np.ndarray, rank: int = RANK, text_col: st
 
     def run(batches):
         idf = held.value
-        wide = test_matrix(rank) * idf[:, None]
-        total = np.zeros((FEATURES, rank), np.float32)
+        wide = with_zero(test_matrix(rank) * idf[:, None])
+        total = np.zeros((FEATURES, rank), np.int64)
         for _, texts in text_slices(batches, "t", SLICE):
-            f, p, n = _passages(Words(texts))
+            w = Words(texts)
+            f, p, n = _passages(w)
             if not len(f):
                 continue
-            at = np.flatnonzero(np.diff(p, prepend=-1))
-            norm = np.add.reduceat(idf[f] ** 2, at)
-            y = np.add.reduceat(wide[f], at) / norm[:, None]
-            order = np.argsort(f.astype(np.uint16), kind="stable")
-            f, p = f[order], p[order]
-            to = np.flatnonzero(np.diff(f, prepend=-1))
-            total[f[to]] += np.add.reduceat(y[p], to)
-        total *= idf[:, None]
+            keys = np.sort((p * FEATURES + f).astype(np.int32 if n * FEATURES < 1 << 31 else np.int64))
+            new = np.flatnonzero(np.diff(keys, prepend=-1))
+            tf = np.diff(np.append(new, len(keys)))
+            rows, features = np.divmod(keys[new], FEATURES)
+            # the squared length of a row: (occurrences x idf)^2 of its features
+            norm = np.add.reduceat((tf * idf[features].astype(np.float64)) ** 2, np.flatnonzero(np.diff(rows, prepend=-1)))
+            row, place, first = _blocks(w)
+            y = block_sums(wide, f, first, np.minimum(w.first[row + 1] - first, STEP))
+            y = np.rint(np.add.reduceat(y, np.flatnonzero(place % (PASSAGE // STEP) == 0)) * (SCALE / norm)[:, None])
+            times = np.bincount(f, minlength=FEATURES)
+            found = np.flatnonzero(times)
+            if n <= DENSE:  # a product of small matrices; sums of integers that float32 (or 64) holds exactly
+                exact = np.float32 if np.abs(y).max() * times.max() < 1 << 24 else np.float64
+                a = np.zeros((len(found), n), exact)
+                a[(np.cumsum(times > 0) - 1)[features], rows] = tf
+                total[found] += (a @ y.astype(exact)).astype(np.int64)
+            else:
+                order = np.argsort(features.astype(np.uint16), kind="stable")
+                to = np.flatnonzero(np.diff(features[order], prepend=-1))
+                total[found] += np.add.reduceat(y.astype(np.int64)[rows[order]] * tf[order, None], to)
         for i, part in enumerate(np.split(total, _PARTS)):
             if part.any():
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "rows": pa.array([part.tobytes()], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(FEATURES // _PARTS * rank, np.float64)
+        out = np.zeros(FEATURES // _PARTS * rank, np.int64)
         for b in batches:
             for c in b.column(1):
-                out += np.frombuffer(c.as_buffer(), np.float32)
+                out += np.frombuffer(c.as_buffer(), np.int64)
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([out.tobytes()], pa.binary())})
 
     out = np.zeros((_PARTS, FEATURES // _PARTS * rank))
     parts = df.select(F.col(text_col).alias("t")).mapInArrow(run, "slice int, rows binary")
     for r in parts.groupBy("slice").applyInArrow(add, "slice int, rows binary").collect():
-        out[r["slice"]] = np.frombuffer(r["rows"])
-    return out.reshape(FEATURES, rank)
+        out[r["slice"]] = np.frombuffer(r["rows"], np.int64)
+    return out.reshape(FEATURES, rank) / SCALE * idf[:, None].astype(np.float64)
 
 
 def factors(b: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +187,19 @@ def _sentences(text: str) -> str:
 
 
 class Item:
-    def __init__(self, ident, text: str | None):
+    """A benchmark item: its words and those of its answer, as hashes."""
+
+    def __init__(self, ident, words: np.ndarray, tail: np.ndarray):
+        self.ident, self.words = ident, words
+        self.whole, self.answer = masks(words), masks(tail)
+        self.n, self.n_answer = len(words), len(tail)
+        self.window = max(2 * STEP, STEP * round(len(words) / STEP))
+
+    @classmethod
+    def of(cls, ident, text: str | None) -> Item:
         text = text or ""
-        whole, last = Words(pa.array([text], pa.large_string())), Words(pa.array([_sentences(text)], pa.large_string()))
-        self.ident, self.words = ident, whole.hash
-        tail = last.hash if 3 <= len(last.hash) < len(whole.hash) else whole.hash[-max(3, len(whole.hash) // 4) :]
-        self.whole, self.answer = masks(self.words), masks(tail)
-        self.n, self.n_answer = len(self.words), len(tail)
-        self.window = max(16, STEP * round(len(self.words) / STEP))
+        whole, last = Words(pa.array([text], pa.large_string())).hash, Words(pa.array([_sentences(text)], pa.large_string())).hash
+        return cls(ident, whole, last if 3 <= len(last) < len(whole) else whole[-max(3, len(whole) // 4) :])
 
 
 def masks(words: np.ndarray) -> dict[int, int]:
@@ -163,7 +221,7 @@ def common_subsequence(mask: dict[int, int], n: int, words: list[int]) -> int:
 
 
 class Cover:
-    """How many words of an item a span of a slice can hold at most, for many pairs of both at once.
+    """How many words of an item a span of a slice can hold at most.
 
     The longest common subsequence is no longer than that, so what falls short needs no word check.
     """
@@ -184,7 +242,24 @@ class Cover:
         self.before = np.full(len(words), -1)
         self.before[order[same + 1]] = order[same]
 
+    def sums(self, first: np.ndarray, stop: int) -> np.ndarray:
+        """(blocks + 1, items): words of each item's vocabulary in the blocks from ``first`` on, added up.
+
+        Counts are of 16 bits and run over; differences of spans below 2^16 words are right.
+        """
+        inside = self.at[first[0] : stop]
+        known = np.flatnonzero(inside < len(self.vocab))
+        out = np.zeros((len(first) + 1, self.bits.shape[1] * 8), np.uint16)
+        if len(known):
+            block = np.searchsorted(first - first[0], known, "right")
+            at = np.flatnonzero(np.diff(block, prepend=-1))
+            # eight counts of a byte in a word: at most STEP words a block, so bytes do not run over
+            flags = np.unpackbits(self.bits[inside[known]], axis=1, bitorder="little").view(np.uint64)
+            out[block[at]] = np.add.reduceat(flags, at).view(np.uint8)
+        return np.cumsum(out, axis=0, out=out)
+
     def most(self, start: np.ndarray, stop: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The bound without a span's repeated words, for many pairs of spans and items."""
         out = self.spare[j]
         for c in range(0, len(j), 1024):
             a, z, k = (x[c : c + 1024, None] for x in (start, stop, j))
@@ -196,11 +271,13 @@ class Cover:
         return out
 
 
-def disturbed_threshold(item: Item, wide: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> float:
+def disturbed_threshold(item: Item, wide: np.ndarray, share: np.ndarray) -> float:
     """The least cosine of an item with windows that lie half a stride off a copy with words replaced.
 
     Other words are drawn as often as the corpus has them; ``share`` adds up the parts of the features.
+    The draws hang on the item's words alone.
     """
+    rng = np.random.default_rng(int(item.words.sum(dtype=np.uint64)))
     f = feature(item.words)
     me = wide[f].sum(axis=0)
     low = 1.0
@@ -214,68 +291,148 @@ def disturbed_threshold(item: Item, wide: np.ndarray, share: np.ndarray, rng: np
     return min(0.75, low)
 
 
-def search(df: DataFrame, items: list[Item], wide: np.ndarray, counts: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, item_id, cosine, lcs, answer): the checked findings, the best of each document and item."""
-    rng = np.random.default_rng(60)
+def item_rows(benchmark: DataFrame, wide: np.ndarray, counts: np.ndarray, item_col: str, item_text: str) -> DataFrame:
+    """(item_id, words, tail, vector, threshold) of each item with words, made in the executors."""
     share = np.cumsum(counts) / max(1, counts.sum())
     share[share >= share[-1]] = 1
-    classes: dict[int, list[Item]] = {}
-    for it in items:
-        if it.n:
-            classes.setdefault(it.window, []).append(it)
-    packed, base = [], 0
-    for window, members in sorted(classes.items()):
-        m = np.stack([wide[feature(it.words)].sum(axis=0) for it in members])
-        m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-12
-        packed.append((window, members, m.T.astype(np.float32), np.array([disturbed_threshold(it, wide, share, rng) for it in members], np.float32), base))
-        base += len(members)
-    held = df.sparkSession.sparkContext.broadcast((wide, packed, Cover([it for p in packed for it in p[1]]) if packed else None))
+    held = benchmark.sparkSession.sparkContext.broadcast((wide, share))
+    names = ["item_id", "words", "tail", "vector", "threshold"]
+
+    def run(batches):
+        wide, share = held.value
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                whole = Item.of(i, text)
+                if not whole.n:
+                    continue
+                tail = whole.words[-whole.n_answer :]
+                me = wide[feature(whole.words)].sum(axis=0)
+                me = (me / (np.linalg.norm(me) + 1e-12)).astype(np.float32)
+                rows.append((i, whole.words.tobytes(), tail.tobytes(), me.tobytes(), disturbed_threshold(whole, wide, share)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names)
+
+    return benchmark.select(F.col(item_col).cast("long"), F.col(item_text)).mapInArrow(run, "item_id long, words binary, tail binary, vector binary, threshold double")
+
+
+class Searcher:
+    """The items of a pass by length class, and the search of a slice of texts."""
+
+    def __init__(self, items: list[tuple[Item, np.ndarray, float]], wide: np.ndarray):
+        self.wide = with_zero(wide)
+        classes: dict[int, list] = {}
+        for row in items:
+            classes.setdefault(row[0].window // STEP, []).append(row)
+        self.items, self.classes = [], []
+        for k, rows in sorted(classes.items()):
+            base = len(self.items)
+            self.items += [r[0] for r in rows]
+            least = np.ceil(LCS_SHARE * np.array([r[0].n for r in rows]))
+            self.classes.append((k, base, len(rows), np.stack([r[1] for r in rows]), np.array([r[2] for r in rows], np.float32), least.astype(np.uint16)))
+        self.cover = Cover(self.items)
+
+    def find(self, w: Words):
+        """(document, item, lcs, answer, cosine) of the best finding of each document and item."""
+        doc, place, first = _blocks(w)
+        size = np.minimum(w.first[doc + 1] - first, STEP)
+        left = -(-np.diff(w.first) // STEP)[doc] - place  # blocks from here to the end of the document
+        longest = max(c[0] for c in self.classes)
+        reach = longest + longest // 4 + 2  # a window and its margin
+        self.cover.place(w.hash)
+        f = feature(w.hash)
+        best: dict[tuple[int, int], tuple] = {}
+        for at in range(0, len(doc), RUN):
+            to, end = min(len(doc), at + RUN), min(len(doc), at + RUN + reach)
+            stop = int(first[end]) if end < len(doc) else len(w.hash)
+            known = self.cover.sums(first[at:end], stop)
+            known = np.concatenate([np.repeat(known[:1], reach, 0), known, np.repeat(known[-1:], reach, 0)])
+            self._run(w, best, (doc, first, place, left), at, to, reach, block_sums(self.wide, f, first[at:end], size[at:end]), known)
+        return [(d, self.items[j], *(-x for x in best[d, j])) for d, j in sorted(best)]
+
+    def _run(self, w, best, parts, at, to, reach, sums, known):
+        """The windows that start at blocks ``at`` to ``to``; ``sums``: of single blocks, ``known``: see Cover.sums."""
+        doc, first, place, left = parts
+        power = [sums]  # sums of 1, 2, 4, ... blocks
+
+        def windows(k):
+            """The sum of the k blocks from each block on (fewer rows than blocks), always in one order."""
+            out, size = None, 0
+            for bit in range(k.bit_length()):
+                if len(power) == bit:
+                    p = power[-1]
+                    power.append(p[: max(0, len(p) - (1 << bit - 1))] + p[1 << bit - 1 :])
+                if k >> bit & 1:
+                    p = power[bit][size:]
+                    out = p if out is None else out[: len(p)] + p
+                    size += 1 << bit
+            return out
+
+        for k, base, m, vectors, limit, least in self.classes:
+            margin = k * STEP // 4 + STEP
+            near = -(-margin // STEP)
+            mine = known[:, base : base + m]
+            v = windows(k)[: to - at]
+            lo = np.arange(at, at + len(v))
+            # words of the items in each window and its margins; the front margin of a later run is not seen
+            count = mine[reach + k + near :][: len(v)] - mine[reach - near :][: len(v)]
+            if at:
+                count[:near] += np.uint16(margin)
+            whole = left[lo] >= k
+            hi = lo + k
+            # a shorter document is one window
+            short = np.flatnonzero((place[at:to] == 0) & (left[at:to] < k)) + at
+            if len(short):
+                size = left[short]
+                own = np.repeat(short, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                v = np.concatenate([v, np.add.reduceat(sums[own - at], np.cumsum(size) - size)])
+                lo, hi, whole = np.concatenate([lo, short]), np.concatenate([hi, short + size]), np.concatenate([whole, np.ones(len(short), bool)])
+                count = np.concatenate([count, mine[short + size - at + reach] - mine[short - at + reach]])
+            if not len(lo):
+                continue
+            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+            good = v @ vectors.T >= norm[:, None] * (limit - np.float32(1e-3))
+            good &= count >= least
+            i, j = np.nonzero(good)
+            i, j = i[whole[i]], j[whole[i]]
+            if not len(i):
+                continue
+            pair = v[i].astype(np.float64)
+            cos = np.round((pair * vectors[j]).sum(axis=1) / (np.sqrt((pair * pair).sum(axis=1)) + 1e-12), 6)
+            d = doc[lo[i]]
+            begin = np.maximum(first[lo[i]] - margin, w.first[d])
+            end = np.minimum(np.minimum(first[lo[i]] + (hi - lo)[i] * STEP, w.first[d + 1]) + margin, w.first[d + 1])
+            keep = (cos >= np.round(limit[j].astype(np.float64), 6)) & (self.cover.most(begin, end, base + j) >= least[j])
+            for x in np.flatnonzero(keep).tolist():
+                it = self.items[base + j[x]]
+                words = w.hash[begin[x] : end[x]].tolist()
+                got = common_subsequence(it.whole, it.n, words)
+                if got >= LCS_SHARE * it.n:
+                    last = common_subsequence(it.answer, it.n_answer, words)
+                    if last >= ANSWER_SHARE * it.n_answer:
+                        found = (-got / it.n, -last / it.n_answer, -float(cos[x]))
+                        key = int(d[x]), int(base + j[x])
+                        best[key] = min(found, best.get(key, found))
+
+
+def search(df: DataFrame, items: list[tuple[Item, np.ndarray, float]], wide: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(id, item_id, cosine, lcs, answer): the checked findings, the best of each document and item."""
+    held = df.sparkSession.sparkContext.broadcast(Searcher(items, wide))
     kind = dict(df.dtypes)[id_col]
     names = ["id", "item_id", "cosine", "lcs", "answer"]
 
     def run(batches):
-        wide, packed, cover = held.value
-        for b, texts in text_slices(batches, "t", SLICE):
-            w = Words(texts)
-            n = len(w.hash)
-            if not n or not packed:
-                continue
-            cover.place(w.hash)
-            blocks = np.add.reduceat(wide[feature(w.hash)], np.arange(0, n, STEP))
-            sums = np.zeros((len(blocks) + 1, wide.shape[1]))
-            np.cumsum(blocks, axis=0, out=sums[1:])
-            best: dict[tuple[int, int], tuple] = {}
-            for window, members, m, limit, base in packed:
-                k = window // STEP
-                lo = np.arange(max(1, len(blocks) - k + 1))
-                hi = np.minimum(lo + k, len(blocks))
-                v = (sums[hi] - sums[lo]).astype(np.float32)
-                v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-12
-                cos = v @ m
-                margin = window // 4 + STEP
-                near, which = np.nonzero(cos >= limit)
-                most = cover.most(np.maximum(lo[near] * STEP - margin, 0), np.minimum(hi[near] * STEP + margin, n), base + which)
-                enough = most >= LCS_SHARE * np.array([it.n for it in members])[which]
-                for i, j in zip(near[enough].tolist(), which[enough].tolist(), strict=True):
-                    it = members[j]
-                    a, z = int(lo[i]) * STEP, min(n, int(hi[i]) * STEP)
-                    c = float(cos[i, j])
-                    for d in set(np.searchsorted(w.first, [a, (a + z) // 2, z - 1], "right").tolist()):
-                        d -= 1
-                        words = w.hash[max(a - margin, w.first[d]) : min(z + margin, w.first[d + 1])].tolist()
-                        got = common_subsequence(it.whole, it.n, words)
-                        if got >= LCS_SHARE * it.n:
-                            end = common_subsequence(it.answer, it.n_answer, words)
-                            if end >= ANSWER_SHARE * it.n_answer:
-                                found = (got / it.n, end / it.n_answer, c, it.ident)
-                                if found > best.get((d, id(it)), (0,)):
-                                    best[d, id(it)] = found
-            if best:
-                rows = [d for d, _ in best]
-                got = list(best.values())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([g[3] for g in got], pa.int64()), pa.array([g[2] for g in got]), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names)
-
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, item_id long, cosine double, lcs double, answer double").withColumnRenamed("id", id_col)
+        searcher = held.value
+        for b, texts in text_slices(batches, "t", SEARCH_SLICE):
+            found = searcher.find(Words(texts))
+            if found:
+                d, it, lcs, answer, cos = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array([x.ident for x in it], pa.int64()), pa.array(cos), pa.array(lcs), pa.array(answer)], names)
+
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, item_id long, cosine double, lcs double, answer double")
+    out = materialize(out, "latent-found")
+    held.destroy()
+    return out.withColumnRenamed("id", id_col)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
@@ -284,24 +441,32 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     idf = inverse_frequencies(counts, passages)
     v, s = factors(range_product(df, idf, rank, text_col), rank)
     wide = (v / s * idf[:, None]).astype(np.float32) if len(s) else np.zeros((FEATURES, 1), np.float32)
+    rows = materialize(item_rows(benchmark, wide, counts, item_col, item_text), "latent-items")
     out, block = None, []
 
     def flush(out):
-        part = search(df, block, wide, counts, id_col, text_col)
+        part = search(df, block, wide, id_col, text_col)
         return part if out is None else out.union(part)
 
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        block.append(Item(r["i"], r["t"]))
+    for r in rows.toLocalIterator():
+        words, tail = (np.frombuffer(r[c], np.uint64) for c in ("words", "tail"))
+        block.append((Item(r["item_id"], words, tail), np.frombuffer(r["vector"], np.float32), r["threshold"]))
         if len(block) == ITEM_BLOCK:
             out, block = flush(out), []
-    return flush(out) if block or out is None else out
+    if block:
+        out = flush(out)
+    if out is None:
+        kind = dict(df.dtypes)[id_col]
+        out = df.sparkSession.createDataFrame([], f"id {kind}, item_id long, cosine double, lcs double, answer double").withColumnRenamed("id", id_col)
+    return out
 
 
 def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the documents that hold a benchmark item; all columns stay."""
-    bad = materialize(leaks(df, benchmark, id_col).select(F.col(id_col).alias("_id")).distinct(), "latent-leaks")
-    return df.join(bad, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    bad = fresh(df, "bad")
+    found = materialize(leaks(df, benchmark, id_col, text_col).select(F.col(id_col).alias(bad)).distinct(), "latent-leaks")
+    return df.join(found, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")
