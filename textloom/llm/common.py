@@ -151,17 +151,25 @@ class Words:
         self.hash = self._hashes(low[1:])
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         self.doc_start = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1] if n else np.zeros(0, np.int64)
+        self.first = np.searchsorted(self.start, np.append(self.doc_start, len(raw) + 1))
+
+    def __getattr__(self, name: str):
+        """What places lines is made when it is first asked for."""
+        if not name.startswith("line"):
+            raise AttributeError(name)
+        n, raw = len(self.doc_start), self.buf
         breaks = np.flatnonzero(raw == 10)
         self.line_start = np.concatenate([[0], breaks + 1]) if n else np.zeros(0, np.int64)
         self.line_end = np.concatenate([breaks, [len(raw)]]) if n else np.zeros(0, np.int64)
-        line_first = np.searchsorted(self.start, self.line_start)
-        self.line_words = np.diff(np.append(line_first, len(self.start)))
-        self.line_first = line_first
-        self.line = np.repeat(np.arange(len(line_first)), self.line_words)
+        self.line_first = np.searchsorted(self.start, self.line_start)
+        self.line_words = np.diff(np.append(self.line_first, len(self.start)))
+        self.line = np.repeat(np.arange(len(self.line_first)), self.line_words)
         doc_line = np.searchsorted(self.line_start, self.doc_start)
-        self.line_doc = np.repeat(np.arange(n), np.diff(np.append(doc_line, len(line_first))))
-        self.line_no = np.arange(len(line_first)) - doc_line[self.line_doc]
-        self.first = np.searchsorted(self.start, np.append(self.doc_start, len(raw) + 1))
+        self.line_doc = np.repeat(np.arange(n), np.diff(np.append(doc_line, len(self.line_first))))
+        self.line_no = np.arange(len(self.line_first)) - doc_line[self.line_doc]
+        if name not in self.__dict__:
+            raise AttributeError(name)
+        return self.__dict__[name]
 
     def _hashes(self, low: np.ndarray) -> np.ndarray:
         eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))

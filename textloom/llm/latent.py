@@ -393,7 +393,7 @@ class Searcher:
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             good = v @ vectors.T >= norm[:, None] * (limit - np.float32(1e-3))
             good &= count >= least
-            i, j = np.nonzero(good)
+            i, j = np.divmod(np.flatnonzero(good), m)
             i, j = i[whole[i]], j[whole[i]]
             if not len(i):
                 continue
