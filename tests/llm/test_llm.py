@@ -260,7 +260,8 @@ def some_lines(seed, groups=12):
 def test_line_dedup_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # many chunks
         monkeypatch.setattr(lines.prefix_entries, "__defaults__", (3,))
-        monkeypatch.setattr(lines.verified, "__defaults__", (3,))
+        monkeypatch.setattr(lines.verified, "__defaults__", ((3, 3),))
+        monkeypatch.setattr(lines, "PART_ENTRIES", 400)
     texts = some_lines(seed)
     want = brute_lines(texts)
     rows = lines.classify_lines(docs(spark, texts, line_no=["x"] * len(texts))).collect()
@@ -272,6 +273,36 @@ def test_line_dedup_against_brute_force(spark, seed, monkeypatch):
         assert r["line_no"] == "x"
 
 
+def test_parity_sketches_never_hide_a_pair():
+    r = np.random.default_rng(5)
+    sizes = [1, 3, 20, 57, 58, 60, 110, 116, 130, 300]
+    sets = [np.unique(r.integers(0, 1 << 58, n, np.uint64)) for n in sizes for _ in range(6)]
+    sets += [np.unique(np.concatenate([s[: len(s) - len(s) // 9], r.integers(0, 1 << 58, len(s) // 12, np.uint64)])) for s in sets]
+    n = np.array([len(s) for s in sets])
+    first = np.cumsum(n) - n
+    sig = lines.sketches(np.concatenate(sets), first)
+    blob = lines.pack_entries(np.arange(len(n), dtype=np.uint32), n, n, n.astype(np.int64), sig)
+    back = lines.unpack_entries(blob)
+    assert (back[1] == n).all() and (back[3] == n).all() and (back[4][n >= lines.WIDER] == sig[n >= lines.WIDER]).all()
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(n)), np.arange(len(n))))
+    differ = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert lines.apart(n, back[4], a, b, differ).all()
+    most = n[a] + n[b] - 2 * lines.overlap_needed(n[a], n[b])
+    passed = lines.apart(n, back[4], a, b, most)
+    assert passed[differ <= most].all() and passed[differ > most].mean() < 0.2
+
+
+def test_line_dedup_clashing_columns_null_ids_and_repeated_rows(spark):
+    a, b = prose(12), prose(15)
+    rows = [(1, a + "\n" + b, "p"), (1, a + "\n" + b, "p"), (None, b, "q"), (2, a, "r"), (3, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumns({"_gone": F.lit(1), "id": F.lit("x"), "line_no": F.lit("y"), "cls": F.lit(2), "a.b": F.lit(3)})
+    got = sorted(((r["doc_id"] or 0, r["text"], r["_id"]) for r in lines.dedup_lines(df).collect()), key=str)
+    # the row without an id comes first and keeps its line; the repeated rows go alike
+    assert got == sorted([(0, b, "q"), (1, a, "p"), (1, a, "p"), (2, "", "r"), (3, None, "s")], key=str)
+    assert lines.dedup_lines(df).columns == df.columns
+    assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
 def test_line_dedup_empty(spark):
     assert lines.classify_lines(docs(spark, ["x"]).limit(0)).count() == 0
 

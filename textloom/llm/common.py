@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +29,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that outlives executors."""
     path = shared_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    for paths in _recorders:
+        paths.append(path)
+    return out
+
+
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """Collects the paths of the tables that are materialized inside."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def free(spark: SparkSession, *tables) -> None:
+    """Delete materialized tables (DataFrames from ``materialize``, or paths) that nothing will read again.
+
+    Only what has been written elsewhere since may be freed: a lost executor then needs no older table.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.table_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs whose DataFrames are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, *bases: str):
@@ -95,10 +133,12 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), label)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, label)
+        free(edges.sparkSession, edges, least)
         # small star: each node links its smaller neighbours, and itself, to the least of them
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), label)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = materialize(small.where("a <> b").distinct(), label)
+        free(edges.sparkSession, large, least)
         after = edges.agg(*digest).first()
         if after == before:
             break

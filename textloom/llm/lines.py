@@ -3,23 +3,25 @@
 A line's tokens are the set of its words (runs of letters and digits, lower case), as 58-bit hashes,
 ordered by rarity: by the logarithm of their corpus frequency, then by hash. Frequencies come from a
 sketch of 2^20 counters over all rows; any order that is the same everywhere keeps the join exact, the
-sketch only makes it selective. Lines of equal word sequence are one class.
+sketch only makes it selective. Lines of equal word sequence are one class, by a 64-bit hash. Exact
+means: up to collisions of these hashes.
 
 Candidates: two sets of Jaccard similarity >= 0.8 share a token among their first
-n - ceil(0.8 n) + 1. These prefix entries are dealt by token as packed arrays; within a token, pairs
-pass the length filter, the positional filter, and a bitmap bound on the overlap. A token with many
-entries is cut into chunks by its counted frequency and each pair of chunks is a cell of its own. A cell
-reports a spanning forest of its candidate pairs, not all of them.
+n - ceil(0.8 n) + 1. These prefix entries are dealt by token as packed arrays, of about PART_ENTRIES at once; within
+a token, pairs pass the length filter, the positional filter, and a parity sketch that bounds the symmetric difference.
+A second sketch counts the prefix entries: a token with many is cut into chunks and each pair of chunks is a cell of
+its own. A cell reports a spanning forest of its candidate pairs, not all of them.
 
 Verification: candidate groups are the connected components of those forests. Only their token sets are
 fetched (a fixed-size Bloom filter picks the lines) and dealt by group, large groups again as
-pairs of chunks; there all pairs are compared exactly. Every class gets its number of linked classes and the
-earliest line linked to it. A line stays if it is the first of its class and no linked class has an
+pairs of chunks; there all pairs are compared exactly, one cell at a time. Every class gets its number of linked
+classes and the earliest line linked to it. A line stays if it is the first of its class and no linked class has an
 earlier line; all later matches go.
 
 Defined cases: a line without words is kept and has no class; a null text has no lines; repeated rows
-repeat their lines: of lines with one (id, line number) all stay or go alike; a null id sorts first; an
-empty table gives no rows. Other columns pass through ``dedup_lines`` untouched.
+repeat their lines: of lines with one (id, line number) all stay or go alike; a null id sorts first; of equal first
+lines none is preferred; a very long line is a set like others; an empty table gives no rows. Other columns pass
+through ``dedup_lines`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,38 +34,66 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, materialize, mix, read_documents, text_slices
+from .common import Words, connected_components, free, fresh, materialize, mix, read_documents, release, text_slices
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 20
 CHUNK = 4096
-GROUP_CHUNK = 1024
+#: Sets in a chunk of a large candidate group: the square root of its size, within these bounds.
+GROUP_CHUNK = (128, 1024)
+#: Prefix entries that are joined in memory at once, about.
+PART_ENTRIES = 1 << 20
 BLOOM_BITS = 1 << 24
 _SLICE = 1 << 14
 _SEQ = np.uint64(0x9E3779B97F4A7C15)
-#: 64-bit words of a set's bitmap.
-WORDS = 3
+#: Sizes from which a set's parity sketch has 128 and 256 bits.
+WIDE, WIDER = 58, 116
 
 
 def pack_entries(cell, n, pos, cls, sig) -> bytes:
-    """Entries sorted by cell, as compressed columns."""
+    """Entries sorted by cell, as compressed columns; of the sketch only the words that a set's size calls for."""
     steps = np.diff(cell, prepend=np.uint32(0))
-    return zstandard.compress(b"".join([steps.tobytes(), n.astype("<u4").tobytes(), pos.astype("<u4").tobytes(), cls.tobytes(), sig.tobytes()]), 1)
+    columns = [np.uint32(len(cell)), steps, n.astype("<u4"), pos.astype("<u4"), cls, sig[:, 0], sig[n >= WIDE, 1], sig[n >= WIDER, 2:]]
+    return zstandard.compress(b"".join(c.tobytes() for c in columns), 1)
 
 
 def unpack_entries(blob) -> tuple[np.ndarray, ...]:
     raw = zstandard.decompress(blob)
-    k = len(raw) // (20 + 8 * WORDS)
-    small = np.frombuffer(raw, "<u4", 3 * k).reshape(3, k)
-    cell = np.cumsum(small[0], dtype=np.uint32)
-    return cell, small[1], small[2], np.frombuffer(raw, np.int64, k, 12 * k), np.frombuffer(raw, np.uint64, WORDS * k, 20 * k).reshape(k, WORDS)
+    k = int(np.frombuffer(raw, "<u4", 1)[0])
+    small = np.frombuffer(raw, "<u4", 3 * k, 4).reshape(3, k)
+    n = small[1]
+    big = np.frombuffer(raw, np.uint64, offset=4 + 12 * k)
+    sig = np.zeros((k, 4), np.uint64)
+    sig[:, 0] = big[k : 2 * k]
+    wide, wider = n >= WIDE, n >= WIDER
+    sig[wide, 1] = big[2 * k : 2 * k + wide.sum()]
+    sig[wider, 2:] = big[2 * k + wide.sum() :].reshape(-1, 2)
+    return np.cumsum(small[0], dtype=np.uint32), n, small[2], big[:k].view(np.int64), sig
+
+
+def sketches(tok: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A parity sketch of each token set: words a, b, c, d of 256 bits, kept as a^b^c^d, b^d, c, d.
+
+    The first word alone is the sketch of 64 bits, the first two give that of 128.
+    """
+    bit = (tok >> np.uint64(7)) & np.uint64(255)
+    one, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+    a, b, c, d = (np.bitwise_xor.reduceat(np.where(word == np.uint64(k), one, np.uint64(0)), first) for k in range(4))
+    return np.stack([a ^ b ^ c ^ d, b ^ d, c, d], 1)
 
 
-def bitmaps(tok: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * WORDS bits of each token set."""
-    bit = (tok >> np.uint64(7)) % np.uint64(64 * WORDS)
-    one, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
-    return np.stack([np.bitwise_or.reduceat(np.where(word == np.uint64(k), one, np.uint64(0)), first) for k in range(WORDS)], 1)
+def apart(n: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs of sets may differ by ``most`` tokens in all: a parity that differs stands for one at least."""
+    x = sig[a, 0] ^ sig[b, 0]
+    ok = np.bitwise_count(x) <= most
+    at = np.flatnonzero(ok & (np.minimum(n[a], n[b]) >= WIDE))
+    y = sig[a[at], 1] ^ sig[b[at], 1]
+    ok[at] = np.bitwise_count(x[at] ^ y).astype(np.int64) + np.bitwise_count(y) <= most[at]
+    keep = ok[at] & (np.minimum(n[a[at]], n[b[at]]) >= WIDER)
+    at, x, y = at[keep], x[at][keep], y[keep]
+    c, d = (sig[a[at], 2:] ^ sig[b[at], 2:]).T
+    ok[at] = sum(np.bitwise_count(w).astype(np.int64) for w in (x ^ y ^ c, y ^ d, c, d)) <= most[at]
+    return ok
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -112,6 +142,29 @@ def overlap_needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-(a + b) * 4 // 9)
 
 
+def _counter_rows(total: np.ndarray):
+    """A task's counters as compressed slices: (slice, counts)."""
+    parts = total.reshape(-1, _SLICE)
+    keep = np.flatnonzero(parts.any(axis=1))
+    return pa.array(keep, pa.int32()), pa.array([zstandard.compress(parts[i].tobytes(), 1) for i in keep], pa.binary())
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The sums of (slice, counts) rows: 2^20 counters, whatever the input's size."""
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(_SLICE, np.int64)
+        for b in batches:
+            for c in b.column(1):
+                out += np.frombuffer(zstandard.decompress(c.as_buffer()), np.int32)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in rows.select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
+        counts[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.int64)
+    return counts
+
+
 def scan_lines(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
     """All lines with words as (id, line_no, cls), and the word counts per bucket."""
     kind = dict(df.dtypes)[id_col]
@@ -127,35 +180,79 @@ def scan_lines(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
             n = len(full)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(w.line_doc[full])), pa.array(w.line_no[full], pa.int32()), pa.array(cls), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if id_type is not None:
-            parts = total.reshape(-1, _SLICE)
-            keep = np.flatnonzero(parts.any(axis=1))
-            n = len(keep)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(keep, pa.int32()), pa.array([zstandard.compress(parts[i].tobytes(), 1) for i in keep], pa.binary())], names)
+            slices, counts = _counter_rows(total)
+            n = len(slices)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), slices, counts], names)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, line_no int, cls long, slice int, counts binary")
     rows = materialize(rows, "lines-scan")
+    lines = rows.where("slice is null").select("id", "line_no", "cls")
+    lines.table_path = rows.table_path
+    return lines, _summed(rows.where("slice is not null"))
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(_SLICE, np.int64)
-        for b in batches:
-            for c in b.column(1):
-                out += np.frombuffer(zstandard.decompress(c.as_buffer()), np.int32)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
 
-    counts = np.zeros(BUCKETS, np.int64)
-    sums = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    for r in sums.collect():  # 2^20 counters, whatever the input's size
-        counts[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.int64)
-    return rows.where("slice is null").select("id", "line_no", "cls"), counts
+class Fresh:
+    """The classes of a slice that the slices just before it in a task did not have: each once."""
+
+    def __init__(self):
+        self.seen = np.zeros(0, np.int64)
+
+    def pick(self, cls: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
+        _, new = np.unique(cls, return_index=True)
+        new = new if also is None else new[also[new]]
+        new = np.sort(new[~np.isin(cls[new], self.seen)])
+        self.seen = np.concatenate([self.seen, cls[new]])[-(1 << 18) :]
+        return new
+
+
+def _sets(w: Words, full: np.ndarray, new: np.ndarray, levels: np.ndarray):
+    """``token_sets`` of the lines ``full[new]``."""
+    pick = np.zeros(len(w.line_words), bool)
+    pick[full[new]] = True
+    line = np.repeat(np.arange(len(new)), w.line_words[full[new]])
+    return token_sets(w.hash[pick[w.line]], line, levels)
+
 
+def _prefixes(tok, first, n):
+    """(token, row, place) of the prefix entries."""
+    row = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(tok)) - first[row]
+    keep = pos < prefix_length(n)[row]
+    return tok[keep], row[keep], pos[keep]
 
-def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, parts: int, chunk: int = CHUNK) -> DataFrame:
-    """(part int, entries binary): the prefix entries of all lines, packed, dealt by cell."""
-    held = df.sparkSession.sparkContext.broadcast((rarity(counts), counts))
+
+def _token_bucket(tok: np.ndarray) -> np.ndarray:
+    return ((tok << np.uint64(6)) >> np.uint64(44)).astype(np.int64)
+
+
+def prefix_counts(df: DataFrame, text_col: str, counts: np.ndarray) -> np.ndarray:
+    """Prefix entries per bucket."""
+    held = df.sparkSession.sparkContext.broadcast(rarity(counts))
 
     def run(batches):
-        levels, counts = held.value
-        seen = np.zeros(0, np.int64)
+        levels, fresh_ones, total = held.value, Fresh(), np.zeros(BUCKETS, np.int32)
+        for _, texts in text_slices(batches, "t"):
+            w = Words(texts)
+            full, cls = classes_of(w)
+            new = fresh_ones.pick(cls)
+            if len(new):
+                total += np.bincount(_token_bucket(_prefixes(*_sets(w, full, new, levels))[0]), minlength=BUCKETS).astype(np.int32)
+        slices, packed = _counter_rows(total)
+        yield pa.RecordBatch.from_arrays([slices, packed], ["slice", "counts"])
+
+    return _summed(df.select(F.col(text_col).alias("t")).mapInArrow(run, "slice int, counts binary"))
+
+
+def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, entries: np.ndarray, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """(part int, entries binary): the prefix entries of all lines, packed, dealt by cell.
+
+    ``entries``: the prefix entries in each bucket; those of a bucket with many go to pairs of chunks.
+    """
+    held = df.sparkSession.sparkContext.broadcast((rarity(counts), np.maximum(1, -(-entries // chunk)).astype(np.int32)))
+
+    def run(batches):
+        levels, chunks = held.value
+        fresh_ones = Fresh()
         out: list[tuple] = []
         size = 0
 
@@ -174,34 +271,28 @@ def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, parts: int,
         for _, texts in text_slices(batches, "t"):
             w = Words(texts)
             full, cls = classes_of(w)
-            # each class once per slice, and not again if the slices before had it
-            _, new = np.unique(cls, return_index=True)
-            new = np.sort(new[~np.isin(cls[new], seen)])
-            seen = np.concatenate([seen, cls[new]])[-(1 << 18) :]
-            pick = np.zeros(len(w.line_words), bool)
-            pick[full[new]] = True
-            words = pick[w.line]
-            line = np.repeat(np.arange(len(new)), w.line_words[full[new]])
-            tok, first, n = token_sets(w.hash[words], line, levels)
-            if not len(tok):
+            new = fresh_ones.pick(cls)
+            if not len(new):
                 continue
-            sig = bitmaps(tok, first)
-            row = np.repeat(np.arange(len(n)), n)
-            pos = np.arange(len(tok)) - first[row]
-            keep = pos < prefix_length(n)[row]
-            tok, row, pos = tok[keep], row[keep], pos[keep]
-            # the entries of a token with many of them go to pairs of chunks
-            k = -(-counts[((tok << np.uint64(6)) >> np.uint64(44)).astype(np.int64)] // chunk)
-            k = np.maximum(k, 1)
-            rep = np.repeat(np.arange(len(tok)), k)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
-            mine = (mix(cls[new][row].view(np.uint64)) % k.astype(np.uint64)).astype(np.int64)[rep]
-            cell = tok[rep] ^ (np.minimum(mine, other) * 65537 + np.maximum(mine, other)).astype(np.uint64) * _SEQ
-            out.append((cell, n[row][rep], pos[rep], cls[new][row][rep], sig[row][rep]))
-            size += len(rep)
-            if size > 1 << 20:
-                yield flush()
-                out, size = [], 0
+            tok, first, n = _sets(w, full, new, levels)
+            sig = sketches(tok, first)
+            tok, row, pos = _prefixes(tok, first, n)
+            k = chunks[_token_bucket(tok)].astype(np.int64)
+            mine = (mix(cls[new][row].view(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
+            # a few entries at a time, however many copies chunks call for
+            ends = np.cumsum(k)
+            at = 0
+            while at < len(tok):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+                rep = at + np.repeat(np.arange(to - at), k[at:to])
+                other = np.arange(len(rep)) - np.repeat(np.cumsum(k[at:to]) - k[at:to], k[at:to])
+                cell = tok[rep] ^ (np.minimum(mine[rep], other) * 65537 + np.maximum(mine[rep], other)).astype(np.uint64) * _SEQ
+                out.append((cell, n[row[rep]], pos[rep], cls[new][row[rep]], sig[row[rep]]))
+                size += len(rep)
+                at = to
+                if size > 1 << 20:
+                    yield flush()
+                    out, size = [], 0
         if out:
             yield flush()
 
@@ -222,8 +313,7 @@ def joined_cells(cell, n, pos, cls, sig):
         need = overlap_needed(n[a], n[b])
         ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
         a, b, need = a[ok], b[ok], need[ok]
-        apart = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64)
-        a = a[n[a] + n[b] - apart >= 2 * need]
+        a = a[apart(n, sig, a, b, n[a] + n[b] - 2 * need)]
         if len(a):
             label = _unite(label, a, a + off, pairs)
         off += 1
@@ -309,23 +399,17 @@ def fetch_sets(df: DataFrame, text_col: str, counts: np.ndarray, bits: np.ndarra
     def run(batches):
         levels, packed = held.value
         bits = np.unpackbits(packed).astype(bool)
-        seen = np.zeros(0, np.int64)
+        fresh_ones = Fresh()
         for _, texts in text_slices(batches, "t"):
             w = Words(texts)
             full, cls = classes_of(w)
             hit = np.ones(len(cls), bool)
             for h in bloom_bits(cls):
                 hit &= bits[h.astype(np.int64)]
-            _, new = np.unique(cls, return_index=True)
-            new = new[hit[new]]
-            new = np.sort(new[~np.isin(cls[new], seen)])
-            seen = np.concatenate([seen, cls[new]])[-(1 << 18) :]
+            new = fresh_ones.pick(cls, hit)
             if not len(new):
                 continue
-            pick = np.zeros(len(w.line_words), bool)
-            pick[full[new]] = True
-            line = np.repeat(np.arange(len(new)), w.line_words[full[new]])
-            tok, first, n = token_sets(w.hash[pick[w.line]], line, levels)
+            tok, first, n = _sets(w, full, new, levels)
             raw = tok.tobytes()
             yield pa.RecordBatch.from_pydict({"cls": pa.array(cls[new]), "tokens": pa.array([raw[8 * i : 8 * (i + k)] for i, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())})
 
@@ -363,70 +447,79 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, both: bool):
     return np.stack([i, j], 1) if both else np.stack([i, j], 1)[i < j]
 
 
-def verified(members: DataFrame, chunk: int = GROUP_CHUNK) -> DataFrame:
+def verified(members: DataFrame, chunk: tuple[int, int] = GROUP_CHUNK) -> DataFrame:
     """(cls, n_links, first): links of each class to others of its group, from exact comparison.
 
-    ``members``: (cls, grp, tokens, at), ``at`` the (id, line_no) struct of the class's first line.
+    ``members``: (cls, grp, tokens, at), ``at`` the (id, line_no) struct of the class's first line. A task holds the
+    sets of one cell, two chunks at most.
     """
     kind = members.schema["at"].dataType.simpleString()
-    sizes = materialize(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lines-groups")
-    k = F.ceil(F.col("size") / chunk).cast("int")
+    sizes = materialize(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lines-sizes")
+    per = F.least(F.lit(chunk[1]), F.greatest(F.lit(chunk[0]), F.ceil(F.sqrt("size"))))
+    k = F.ceil(F.col("size") / per).cast("int")
     mine = F.pmod(F.xxhash64("cls", F.lit(3)), k.cast("long")).cast("int")
     cells = members.join(sizes, "grp").select("cls", "tokens", "at", "grp", mine.alias("side"), F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))).alias("c"))
-    cells = cells.select("cls", "tokens", "at", "grp", "c.i", "c.j", "side")
-
-    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # several cells share a key only by chance: keep them apart
-        rows = pa.Table.from_batches(list(batches))
-        g = np.stack([rows.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
-        o = np.lexsort((g[:, 2], g[:, 1], g[:, 0]))
-        cuts = np.flatnonzero(np.append(True, (g[o][1:] != g[o][:-1]).any(axis=1)))
-        tokens = rows.column("tokens").combine_chunks()
-        cls = rows.column("cls").to_numpy()
-        side = rows.column("side").to_numpy()
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.select("cls", "tokens", "at", "grp", "c.i", "c.j", "side").repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+    def compare(rows: pa.RecordBatch):
+        """The links of one cell."""
+        i, j, side, cls = (rows.column(c).to_numpy() for c in ("i", "j", "side", "cls"))
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in rows.column("tokens")]
+        pairs = exact_links(sets, (side == j[0]).astype(int), bool(i[0] != j[0]))
+        if not len(pairs):
+            return
+        ends = np.concatenate([pairs, pairs[:, ::-1]])
         at = rows.column("at").to_pylist()
-        where, counts, firsts = [], [], []
-        for a, b in zip(cuts, np.append(cuts[1:], len(o)), strict=True):
-            ix = o[a:b]
-            sets = [np.frombuffer(tokens[i].as_buffer(), np.uint64) for i in ix.tolist()]
-            both = bool(g[ix[0], 1] != g[ix[0], 2])
-            pairs = exact_links(sets, (side[ix] == g[ix[0], 2]).astype(int), both)
-            if not len(pairs):
+        order = sorted(range(len(at)), key=lambda x: (at[x]["id"] is not None, at[x]["id"], at[x]["line_no"]))
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at))
+        least = np.full(len(at), len(at))
+        np.minimum.at(least, ends[:, 0], rank[ends[:, 1]])
+        found, counts = np.unique(ends[:, 0], return_counts=True)
+        firsts = rows.column("at").take(pa.array(np.array(order)[least[found]]))
+        yield pa.RecordBatch.from_arrays([pa.array(cls[found], pa.int64()), pa.array(counts, pa.int64()), firsts], ["cls", "n_links", "first"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            ends = np.concatenate([pairs, pairs[:, ::-1]])
-            order = sorted(range(len(ix)), key=lambda x, ix=ix: (at[ix[x]]["id"] is not None, at[ix[x]]["id"], at[ix[x]]["line_no"]))
-            rank = np.empty(len(ix), np.int64)
-            rank[order] = np.arange(len(ix))
-            least = np.full(len(ix), len(ix))
-            np.minimum.at(least, ends[:, 0], rank[ends[:, 1]])
-            for x, n in zip(*np.unique(ends[:, 0], return_counts=True), strict=True):
-                where.append(cls[ix[x]])
-                counts.append(n)
-                firsts.append(at[ix[order[least[x]]]])
-        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, rows.schema.field("at").type)], ["cls", "n_links", "first"])
-
-    # small groups travel together: a few thousand keys however many groups there are
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    dealt = cells.withColumn("cell", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(n)).cast("int"))
-    found = dealt.groupBy("cell").applyInArrow(compare, f"cls long, n_links long, first {kind}")
+            rows = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            g = np.stack([rows.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
+            cuts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]).any(axis=1)))
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                yield from compare(rows.slice(a, z - a))
+            held = rows.slice(cuts[-1])
+        if held is not None:
+            yield from compare(held)
+
+    found = cells.mapInArrow(run, f"cls long, n_links long, first {kind}")
     return found.groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("first").alias("first"))
 
 
-def classify_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, class_id, n_links, kept): one row per line with words."""
+def classify_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: list | None = None) -> DataFrame:
+    """(id, line_no, class_id, n_links, kept): one row per line with words. ``tables`` gets what the result reads."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     lines, counts = scan_lines(docs, "id", "t")
     firsts = lines.groupBy("cls").agg(F.min(F.struct("id", "line_no")).alias("at"))
     firsts = materialize(firsts, "lines-classes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
-    edges = materialize(candidate_links(prefix_entries(docs, "t", counts, parts)), "lines-links")
+    entries = prefix_counts(docs, "t", counts)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 8, int(entries.sum()) // PART_ENTRIES)
+    edges = materialize(candidate_links(prefix_entries(docs, "t", counts, entries, parts)), "lines-links")
     groups = materialize(connected_components(edges, "lines-cc").select(F.col("node").alias("cls"), F.col("component").alias("grp")), "lines-groups")
+    free(spark, edges)
     sets = fetch_sets(docs, "t", counts, bloom(groups.select("cls")))
-    members = groups.join(firsts, "cls").join(sets.dropDuplicates(["cls"]), "cls")
-    found = materialize(verified(materialize(members, "lines-members")), "lines-verified")
+    members = materialize(groups.join(firsts, "cls").join(sets.dropDuplicates(["cls"]), "cls"), "lines-members")
+    found = materialize(verified(members), "lines-verified")
+    free(spark, groups, members)
     told = firsts.join(found, "cls", "left").select("cls", "at", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first").isNull() | (F.col("at") < F.col("first"))).alias("stays"))
     told = materialize(told, "lines-told")
+    free(spark, firsts, found)
+    release(spark)
+    if tables is not None:
+        tables += [lines, told]
     mine = F.struct("id", "line_no").eqNullSafe(F.col("at"))
     return lines.join(told, "cls").select(F.col("id").alias(id_col), "line_no", F.col("cls").alias("class_id"), "n_links", (F.col("stays") & mine).alias("kept"))
 
@@ -434,14 +527,16 @@ def classify_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later matches taken out of its texts; no row goes, other columns stay.
 
-    A text whose lines all go becomes empty.
+    A text whose lines all go becomes empty. The lines that go grow with the texts, so both meet by a shuffle at any size.
     """
-    gone = classify_lines(df, id_col, text_col).where(~F.col("kept"))
-    gone = gone.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    gone = materialize(gone, "lines-gone")
-    kept = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(text_col))).drop("_id", "_gone").select(*df.columns)
+    tables: list = []
+    key, lost = fresh(df, "id", "gone")
+    gone = classify_lines(df, id_col, text_col, tables).where(~F.col("kept"))
+    gone = materialize(gone.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line_no").alias(lost)), "lines-gone")
+    free(df.sparkSession, *tables)
+    kept = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.when(~F.array_contains(lost, i), x)), lambda x: x.isNotNull()), "\n")
+    joined = df.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)), "left")
+    return joined.withColumn(text_col, F.when(F.col(lost).isNotNull(), kept).otherwise(F.col(text_col))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

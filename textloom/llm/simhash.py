@@ -14,7 +14,8 @@ spanning forest), never all pairs of a group. Links are joined up by distributed
 
 Defined cases: no words, or a null text: fingerprint zero, linked like any other; fewer than 4 words: one
 shingle of all; repeated rows are rows like others; a null id stays null and is the least of its
-component only if all are null; an empty table gives no rows. Other columns are not looked at.
+component only if all are null; ties of fingerprints are one class; an empty table gives no rows. Other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, read_documents
+from .common import connected_components, free, fresh, materialize, read_documents
 
 SEED, SHINGLE, MOST = 42, 4, 4
 BLOCKS, PIVOTS, CHUNK = 6, 24, 2048
@@ -188,12 +189,12 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     texts = df if wordless else df.where(~blank)
+    key = fresh(df, "id")
     first = components(texts, id_col, text_col)
-    gone = materialize(first.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct(), "simhash-gone")
-    kept = df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    twice = texts.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(id_col).alias("_twice"))
-    twice = materialize(twice, "simhash-twice")
+    gone = materialize(first.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)).distinct(), "simhash-gone")
+    match = F.col(id_col).eqNullSafe(F.col(key))
+    kept = df.join(gone, match, "left_anti")
+    twice = materialize(texts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias(key)), "simhash-twice")
     if twice.isEmpty():
         return kept
-    match = F.col(id_col).eqNullSafe(F.col("_twice"))
     return kept.join(twice, match, "left_anti").union(kept.join(twice, match, "left_semi").dropDuplicates([id_col]))
