@@ -616,6 +616,56 @@ def test_toxicity_held_out_accuracy(spark):
     assert {x["score"] for x in toxicity.score_texts(df.limit(3), toxicity.fitted(df, known.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_lengths_and_scores_by_hand(spark):
+    """Each window's two lengths and a text's score, worked out apart from the model's code."""
+    import zstandard
+
+    r = random.Random(13)
+    bad = ["wretched", "scoundrel", "vermin"]
+    rows = [(h, toxicity.as_bytes(prose(60, r) + (" " + " ".join(r.choice(bad) for _ in range(4)) if h % 5 == 0 else "")), int(h % 5 == 0)) for h in range(900)]
+    model = toxicity.train(toxicity.LocalRows(rows), toxicity.Settings(words=8192, toxic=512))
+    assert b"scoundrel" in model.toxic and b"scoundrel" not in model.ordinary
+    plain, marked = model.compressors()
+    for text in (b"", b"x", b"one word", b"a scoundrel and vermin", toxicity.as_bytes(prose(300, r))):
+        cut, at = [], 0
+        while at < len(text):
+            to = len(text) if at + 128 >= len(text) else (text.rfind(b" ", at + 64, at + 128) if b" " in text[at + 64 : at + 128] else at + 128)
+            cut.append(text[at:to])
+            at = to
+        d = []
+        for w in cut or [b""]:
+            sizes = []
+            for content in (model.ordinary, model.toxic + model.ordinary):
+                z = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+                sizes.append(len(z.compress(w)))
+            d.append(sizes[0] - sizes[1])
+        assert d == [len(plain(w)) - len(marked(w)) for w in toxicity.windows(text)]
+        top = sorted(d, reverse=True)
+        x = [top[0], np.mean([max(v, 0) for v in top[:3]]), *(np.log1p(sum(v >= k for v in d)) for k in range(1, 6)), np.mean([max(v, 0) for v in d]), np.mean([v >= 3 for v in d]), np.log(len(d))]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.spread, strict=False)) + model.weights[-1]
+        assert abs(model.score(np.array([model.features(text, plain, marked)]))[0] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert model.score(np.array([model.features(b"a scoundrel and vermin, a wretched scoundrel", plain, marked)]))[0] >= toxicity.THRESHOLD
+
+
+def test_toxicity_sample_and_edge_rows(spark):
+    r = random.Random(14)
+    texts = [prose(30, r) + (" scoundrel vermin" * 2 if i % 3 == 0 else "") for i in range(240)]
+    df = docs(spark, texts, y=["a"] * 240, h=["b"] * 240, t=["c"] * 240)
+    df = df.union(df.where("doc_id < 9")).union(spark.createDataFrame([(None, "scoundrel", "", "", ""), (500, None, "", "", "")], df.schema))
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(None, 1), (7, 1), (8, None), (500, 0)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(df, known, ~toxicity.held_out(), "doc_id", "text", 1000).collect()
+    used = [i for i in [*range(240), 500] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(rows) == len(used) + (7 in used) and sum(x["y"] for x in rows) == sum(i % 3 == 0 for i in used if i < 500) + (7 in used)
+    assert toxicity.labelled_sample(df, known, ~toxicity.held_out(), "doc_id", "text", 10).count() == 20
+    model = toxicity.fitted(df, known)
+    local = toxicity.train(toxicity.LocalRows([(x["h"], toxicity.as_bytes(x["t"]), x["y"]) for x in rows]))
+    assert model.toxic == local.toxic and model.ordinary == local.ordinary and np.allclose(model.weights, local.weights)
+    kept = toxicity.drop_toxic(df, known)
+    assert kept.columns == df.columns and 0 < kept.count() < df.count()
+    assert toxicity.drop_toxic(df.limit(0), known).count() == 0
+    assert toxicity.score_texts(df.limit(0), model).count() == 0
+
+
 def test_selection_never_reads_held_out_labels(spark):
     r = random.Random(11)
     texts = [prose(40, r) + (" scoundrel vermin" if i % 3 == 0 else "") for i in range(300)]
@@ -623,8 +673,8 @@ def test_selection_never_reads_held_out_labels(spark):
     # a held-out row that carries a word of its own
     marked = df.withColumn("text", F.when(toxicity.held_out(), F.concat("text", F.lit(" heldout"))).otherwise(F.col("text")))
     known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
-    folds = [toxicity.labelled_sample(marked, known, toxicity.fold().isin(f), "doc_id", "text", 1000) for f in ([0, 1], [3])]
-    assert all(folds) and not any(b"heldout" in t for rows in folds for t, _ in rows)
+    folds = [toxicity.labelled_sample(marked, known, toxicity.fold().isin(f), "doc_id", "text", 1000).collect() for f in ([0, 1], [3])]
+    assert all(folds) and not any("heldout" in r["t"] for rows in folds for r in rows)
     assert sum(map(len, folds)) == df.where(~toxicity.held_out()).count()
     assert toxicity_selection.figures(np.array([0.9, 0.4, 0.1, 0.2]), np.array([1, 0, 0, 1])) == (0.5, 0.5, 0.5, 0.75)
 

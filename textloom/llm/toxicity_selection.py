@@ -1,8 +1,8 @@
 """Choose the toxicity operator's settings without the held-out rows.
 
-``python -m textloom.llm.toxicity_selection SF_DIR`` fits every setting of GRID on the labelled rows of folds 0
-and 1, and ranks them by the F1 of ``predicted`` on those of fold 3. Labels of fold 2, which is held out,
-are never read: the folds are filtered before the labels are joined. One line per setting, best first.
+``python -m textloom.llm.toxicity_selection SF_DIR ...`` fits every setting of GRID on the labelled rows of folds 0
+and 1, and ranks them by the F1 of ``predicted`` on those of fold 3, the mean over all tables given. Labels of fold 2,
+which is held out, are never read: the folds are filtered before the labels are joined. One line per setting, best first.
 """
 
 from __future__ import annotations
@@ -15,20 +15,12 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from .common import read_documents
-from .toxicity import SAMPLE, THRESHOLD, Settings, fold, labelled_sample, train
+from .toxicity import SAMPLE, THRESHOLD, LocalRows, Settings, as_bytes, fold, labelled_sample, train
 
-STEMS = [(20.0, 4.0, 0.01), (20.0, 10.0, 0.01), (50.0, 4.0, 0.01), (50.0, 10.0, 0.03)]
-COMMON = list(itertools.product((32, 64, 128), (2048, 8192), (3, 6)))
-FIRST = [Settings(w, d, v, *s) for (w, d, v), s in itertools.product(COMMON, STEMS)] + [
-    Settings(w, d, v, marked="windows") for w, d, v in COMMON
+GRID = [
+    Settings(window=w, words=o, toxic=t, segment=k, dmer=d)
+    for w, o, t, (k, d) in itertools.product((64, 96, 128), (16384, 49152, 98304, 196608), (1024, 2048, 3072, 4096), ((16, 6), (20, 6), (24, 8)))
 ]
-#: Around the best of the first.
-SECOND = [
-    Settings(w, d, v, *s)
-    for w, d, v, s in itertools.product((64, 96), (8192, 16384, 32768), (6, 9), ((50.0, 10.0, 0.03), (100.0, 10.0, 0.03), (50.0, 20.0, 0.03), (50.0, 10.0, 0.05)))
-    if (w, d, v, s) != (64, 8192, 6, STEMS[-1])
-]
-GRID = FIRST + SECOND
 
 
 def figures(scores: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
@@ -50,20 +42,22 @@ def _hold(rows):
 
 def _one(settings: Settings):
     fit, check = _ROWS
-    model = train(fit, settings)
+    model = train(LocalRows(fit), settings)
     a, b = model.compressors()
-    x = np.array([model.features(t, a, b) for t, _ in check])
-    return figures(model.score(x), np.array([y for _, y in check])), settings
+    x = np.array([model.features(t, a, b) for _, t, _ in check])
+    return figures(model.score(x), np.array([y for _, _, y in check])), settings
 
 
-def select(spark: SparkSession, sf_dir: str, grid: list[Settings] = GRID, workers: int = 8) -> list[tuple[tuple[float, ...], Settings]]:
+def select(spark: SparkSession, sf_dir: str, grid: list[Settings] = GRID, workers: int = 8) -> dict[Settings, tuple[float, ...]]:
     docs, labels = read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = [labelled_sample(docs, labels, fold().isin(f), "doc_id", "text", SAMPLE) for f in ([0, 1], [3])]
+    samples = [labelled_sample(docs, labels, fold().isin(f), "doc_id", "text", SAMPLE).collect() for f in ([0, 1], [3])]
+    rows = [[(r["h"], as_bytes(r["t"]), r["y"]) for r in part] for part in samples]
     with Pool(workers, _hold, (rows,)) as pool:
-        return sorted(pool.imap_unordered(_one, grid), key=lambda r: r[0], reverse=True)
+        return {settings: found for found, settings in pool.imap_unordered(_one, grid)}
 
 
 if __name__ == "__main__":
     session = SparkSession.builder.master("local[8]").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").getOrCreate()
-    for found, chosen in select(session, sys.argv[1]):
-        print("F1 %.3f precision %.3f recall %.3f AUC %.3f" % found, chosen)
+    tables = [select(session, path) for path in sys.argv[1:]]
+    for chosen in sorted(GRID, key=lambda s: -sum(t[s][0] for t in tables)):
+        print("; ".join("F1 %.3f precision %.3f recall %.3f AUC %.3f" % t[chosen] for t in tables), chosen)
