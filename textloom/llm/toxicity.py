@@ -42,22 +42,25 @@ THRESHOLD = 0.3
 class Settings:
     """What ``toxicity_selection`` chooses, on rows that are not held out; sizes in bytes.
 
-    ``base`` and ``words``: the layers of the ordinary dictionary; ``toxic``: the toxic one; ``segment`` and ``dmer``: of
+    ``base``, ``words`` and ``counter``: the layers of the ordinary dictionary; ``toxic``: the toxic one; ``segment`` and ``dmer``: of
     the trainer, for words; ``samples``: the most windows, or pieces of words, that a dictionary is trained on.
     """
 
     window: int = 128
     base: int = 16384
     words: int = 98304
+    counter: int = 16384
     toxic: int = 3072
     segment: int = 24
     dmer: int = 8
     level: int = 9
-    samples: int = 20000
+    samples: int = 120000
 
 
 SETTINGS = Settings()
 _PIECE, _LEAST = 64, 4
+#: Bytes by which the toxic dictionary must shorten an ordinary window for the layer ``counter``.
+_HARD = 2
 
 
 def windows(text: bytes, size: int = SETTINGS.window) -> list[bytes]:
@@ -112,6 +115,9 @@ class Model:
         n = len(d)
         return [top[0], top[:3].clip(0).mean(), *(np.log1p((d >= k).sum()) for k in (1, 2, 3, 4, 5)), d.clip(0).mean(), (d >= 3).mean(), float(np.log(n))]
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "made"}
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
         a = np.c_[(x - self.mean) / self.spread, np.ones(len(x))]
@@ -136,6 +142,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def shortened(text: bytes, model: Model) -> list[bytes]:
+    """The windows of a text that the toxic dictionary shortens."""
+    if not hasattr(model, "made"):  # once a task
+        model.made = model.compressors()
+    plain, marked = model.made
+    return [w for w in windows(text, model.settings.window) if len(plain(w)) - len(marked(w)) >= _HARD]
+
+
 def as_bytes(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace")
 
@@ -206,7 +220,10 @@ def train(rows: LocalRows | SparkRows, settings: Settings = SETTINGS) -> Model:
     how = {"k": s.segment, "d": s.dmer}
     base = dictionary(s.base, rows.samples(0, lambda t: windows(t, s.window), s.samples))
     ordinary = dictionary(s.words, rows.samples(0, lambda t: unheld(t, base), s.samples), **how) + base
-    model = Model(dictionary(s.toxic, rows.samples(1, lambda t: unheld(t, ordinary), s.samples), **how), ordinary, s)
+    first = Model(dictionary(s.toxic, rows.samples(1, lambda t: unheld(t, ordinary), s.samples), **how), ordinary, s)
+    hard = rows.samples(0, lambda t: shortened(t, first), s.samples)
+    both = dictionary(s.counter, [p for w in hard for p in unheld(w, ordinary)], **how) + ordinary
+    model = Model(dictionary(s.toxic, rows.samples(1, lambda t: unheld(t, both), s.samples), **how), both, s)
     model.fit(*rows.measured(model))
     return model
 

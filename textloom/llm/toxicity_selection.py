@@ -18,8 +18,8 @@ from .common import read_documents
 from .toxicity import SAMPLE, THRESHOLD, LocalRows, Settings, as_bytes, fold, labelled_sample, train
 
 GRID = [
-    Settings(window=w, words=o, toxic=t, segment=k, dmer=d)
-    for w, o, t, (k, d) in itertools.product((64, 96, 128), (16384, 49152, 98304, 196608), (1024, 2048, 3072, 4096), ((16, 6), (20, 6), (24, 8)))
+    Settings(window=w, toxic=t, segment=k, dmer=d, samples=n)
+    for (w, t), (k, d), n in itertools.product(((64, 2048), (96, 2048), (128, 3072)), ((20, 6), (24, 8)), (20000, 60000, 120000))
 ]
 
 
