@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 Step = Callable[[Column], Column]
 
 # fixed values: the characters that become spaces
-PUNCTUATION = "\\][’'\"!,.@#$%^&*()_+-={}|><`~±§?;:/"
-_PUNCTUATION_CLASS = r"[\\\]\[’'\"!,.@#$%^&*()_+\-={}|><`~±§?;:/]"
+_PUNCTUATION_CLASS = r"[\\\]\['\"!,.@#$%^&*()_+\-={}|><`~±§?;:/]"
 
 
 def lower_case(text: Column) -> Column:

@@ -48,13 +48,35 @@ def geohash(lat: Column, lon: Column, precision: int = 5) -> Column:
     return cell_hash(cell_x(lon, precision), cell_y(lat, precision), precision)
 
 
-def cover(rings: Column, precision: int = 5) -> Column:
-    """Geohashes of all cells of the bounding box: a superset of those that the polygon touches."""
+def _box(west: Column, east: Column, south: Column, north: Column, precision: int) -> Column:
+    """Geohashes of a rectangle of cells."""
+    return F.flatten(F.transform(F.sequence(west, east), lambda i: F.transform(F.sequence(south, north), lambda j: cell_hash(i, j, precision))))
+
+
+#: Cells of a cover at most, but for the coarsest.
+COVER = 1024
+
+
+def cover(rings: Column, precision: int = 5, most: int = COVER) -> Column:
+    """Geohashes of the cells of the bounding box: a superset of those that the polygon touches.
+
+    The longest hashes, up to the precision, of which there are at most ``most``; so a large polygon has
+    short ones, and two covers meet where a hash of one begins with one of the other.
+    """
     points = F.flatten(rings)
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    x = F.sequence(cell_x(F.array_min(xs), precision), cell_x(F.array_max(xs), precision))
-    y = F.sequence(cell_y(F.array_min(ys), precision), cell_y(F.array_max(ys), precision))
-    return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: cell_hash(i, j, precision))))
+    out = None
+    for p in range(1, precision + 1):
+        ends = [f(g(v), p) for f, v in ((cell_x, xs), (cell_y, ys)) for g in (F.array_min, F.array_max)]
+        cells = _box(*ends, p)
+        few = (ends[1] - ends[0] + 1) * (ends[3] - ends[2] + 1) <= most
+        out = cells if out is None else F.when(few, cells).otherwise(out)
+    return out
+
+
+def beginnings(cell: Column, precision: int) -> Column:
+    """The hash and all its beginnings."""
+    return F.array_distinct(F.array(*(F.substring(cell, 1, k) for k in range(1, precision + 1))))
 
 
 def edges(ring: Column) -> Column:
@@ -80,16 +102,25 @@ def _side(a, b, c) -> Column:
     return F.signum((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
 
 
-def edges_cross(p: Column, q: Column) -> Column:
-    """Do any two edges of two polygons cross?"""
+def edges_meet(p: Column, q: Column) -> Column:
+    """Do any two edges of two polygons have a point in common? Touching and lying on each other count."""
     ep, eq = F.flatten(F.transform(p, edges)), F.flatten(F.transform(q, edges))
-    return F.exists(ep, lambda e: F.exists(eq, lambda f: (_side(e["a"], e["b"], f["a"]) * _side(e["a"], e["b"], f["b"]) < 0) & (_side(f["a"], f["b"], e["a"]) * _side(f["a"], f["b"], e["b"]) < 0)))
+
+    def near(e, f, k):
+        low, high = lambda s: F.least(s["a"][k], s["b"][k]), lambda s: F.greatest(s["a"][k], s["b"][k])
+        return (low(e) <= high(f)) & (low(f) <= high(e))
+
+    def meet(e, f):
+        across = lambda s, t: _side(s["a"], s["b"], t["a"]) * _side(s["a"], s["b"], t["b"]) <= 0
+        return near(e, f, 0) & near(e, f, 1) & across(e, f) & across(f, e)
+
+    return F.exists(ep, lambda e: F.exists(eq, lambda f: meet(e, f)))
 
 
 def overlaps(p: Column, q: Column) -> Column:
-    """Edges cross, or one outer ring holds a point of the other."""
+    """Edges meet, or one polygon holds a point of the other; where a ring starts does not matter."""
     held = contains_point(p, q[0][0][0], q[0][0][1]) | contains_point(q, p[0][0][0], p[0][0][1])
-    return edges_cross(p, q) | held
+    return edges_meet(p, q) | held
 
 
 def outer_holds(p: Column, q: Column) -> Column:

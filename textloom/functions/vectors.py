@@ -59,7 +59,22 @@ def bigrams(tokens: Column) -> Column:
     return F.flatten(pairs)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not wherever ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bigram_vector(tokens: Column) -> Column:
-    """Dense counts of all 1,296 bigrams."""
-    codes = bigrams(tokens)
-    return F.transform(F.sequence(F.lit(0), F.lit(BIGRAMS - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double"))
+    """Dense counts of all 1,296 bigrams: the runs of the sorted codes, counted once and then spread out."""
+
+    def starts(codes):
+        return F.filter(F.sequence(F.lit(0), F.size(codes)), lambda i: (i < F.size(codes)) & ((i == 0) | (F.get(codes, i) != F.get(codes, i - 1))))
+
+    def counts(codes, at):
+        ends = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(codes)))
+        return F.map_from_arrays(F.transform(at, lambda i: F.get(codes, i)), F.zip_with(at, F.slice(ends, 1, F.size(at)), lambda i, j: j - i))
+
+    def dense(found):
+        return F.transform(F.sequence(F.lit(0), F.lit(BIGRAMS - 1)), lambda k: F.coalesce(F.try_element_at(found, k), F.lit(0)).cast("double"))
+
+    return let(F.array_sort(bigrams(tokens)), lambda codes: let(starts(codes), lambda at: let(counts(codes, at), dense)))

@@ -3,7 +3,9 @@
 An ``Index`` is a set of lazy DataFrames. A text field has postings, one row per occurrence (doc_id,
 value_idx, pos, term), positions restarting at every value; a geo field has its last geometry and that
 geometry's cells; a vector field one row per vector. Ids are unique per build: deduplicate upstream.
-``persist`` writes the tables; persisted postings are sorted by term, so a term filter prunes row groups.
+``tfs`` holds one row per (term, doc_id) with its frequency and the document's length, ``terms`` one per term with
+its counts. Tables are computed when they are read; ``sources.state.persist`` writes them, sorted by term and document,
+so a term filter prunes row groups and statistics are constants. A mapped field without a column is empty.
 """
 
 from __future__ import annotations
@@ -58,6 +60,12 @@ class Index:
     docs: DataFrame
     mapping: dict = field(default_factory=dict)
     tables: dict = field(default_factory=dict)
+    #: Of persisted text fields: (documents with tokens, their mean length).
+    facts: dict = field(default_factory=dict)
+
+    def with_field(self, name: str, cfg) -> Index:
+        """The same tables under another configuration of a field: its ranking, or its query analyzer."""
+        return Index(self.docs, self.mapping | {name: cfg}, self.tables, self.facts)
 
     @property
     def spark(self) -> SparkSession:
@@ -84,7 +92,9 @@ class Index:
         return self.tables[key]
 
     def _values(self, name: str) -> DataFrame:
-        kind = dict(self.docs.dtypes)[name]
+        kind = dict(self.docs.dtypes).get(name)
+        if kind is None:
+            return self.docs.where(F.lit(False)).select("doc_id", F.lit(0).alias("value_idx"), F.lit("").alias("value"))
         values = F.col(name) if kind.startswith("array") else F.when(F.col(name).isNotNull(), F.array(name))
         return self.docs.select("doc_id", F.posexplode(values).alias("value_idx", "value"))
 
@@ -99,8 +109,13 @@ class Index:
         """One row: documents with tokens, and their mean length."""
         return self.table("lengths", name).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
+    def _tfs(self, name: str) -> DataFrame:
+        counted = self.table("postings", name).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+        return counted.join(self.table("lengths", name), "doc_id").select("term", "doc_id", "tf", "dl")
+
     def _terms(self, name: str) -> DataFrame:
-        return self.table("postings", name).select("term").distinct()
+        """(term, df, cf): documents with the term, and its occurrences."""
+        return self.table("tfs", name).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
     def _geometries(self, name: str) -> DataFrame:
         last = self._values(name).groupBy("doc_id").agg(F.max(F.struct("value_idx", "value")).alias("v"))
@@ -114,7 +129,9 @@ class Index:
         return self.table("geometries", name).select("doc_id", F.explode(F.coalesce(point, rings, many)).alias("cell"))
 
     def _vectors(self, name: str) -> DataFrame:
-        kind = dict(self.docs.dtypes)[name]
+        kind = dict(self.docs.dtypes).get(name)
+        if kind is None:
+            return self.docs.where(F.lit(False)).select("doc_id", F.lit(0).alias("vec_idx"), F.array(F.lit(0.0)).alias("v"))
         many = F.col(name) if kind.startswith("array<array") else F.array(name)
         return self.docs.where(F.col(name).isNotNull()).select("doc_id", F.posexplode(many).alias("vec_idx", "v"))
 

@@ -9,8 +9,11 @@ from ..functions import vectors
 from .index import Index
 
 
-def nearest(index: Index, name: str, vector: list[float], k: int, ids: DataFrame | None = None, exact: bool = True) -> DataFrame:
-    """(doc_id, vec_idx, similarity): a row per vector, so a document can come more than once."""
+def nearest(index: Index, name: str, vector: list[float], k: int, ids: DataFrame | None = None, exact: bool = True, digits: int | None = None) -> DataFrame:
+    """(doc_id, vec_idx, similarity): a row per vector, so a document can come more than once.
+
+    ``digits``: similarities are rounded before they are ranked; ties go by id.
+    """
     probe = F.lit([float(x) for x in vector])
     if exact:
         rows = index.table("vectors", name)
@@ -20,7 +23,9 @@ def nearest(index: Index, name: str, vector: list[float], k: int, ids: DataFrame
         rows = index.table("buckets", name).join(F.broadcast(asked), ["table", "hash"], "left_semi").dropDuplicates(["doc_id", "vec_idx"]).select("doc_id", "vec_idx", "v")
     if ids is not None:
         rows = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return rows.select("doc_id", "vec_idx", vectors.cosine(F.col("v"), probe).alias("similarity")).orderBy(F.desc("similarity"), "doc_id", "vec_idx").limit(k)
+    similarity = vectors.cosine(F.col("v"), probe)
+    similarity = similarity if digits is None else F.round(similarity, digits)
+    return rows.select("doc_id", "vec_idx", similarity.alias("similarity")).orderBy(F.desc("similarity"), "doc_id", "vec_idx").limit(k)
 
 
 def bucket_lists(buckets: DataFrame) -> DataFrame:

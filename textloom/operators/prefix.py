@@ -37,6 +37,12 @@ def facts(terms: DataFrame, text: str) -> DataFrame:
     return row.select("exact", "starts", back.alias("back"))
 
 
+def possible(text: str):
+    """What every term that a prefix can stand for fulfils, as plain comparisons that reach a file's statistics."""
+    hit = F.col("term").isin([text[:k] for k in range(1, len(text) + 1)])
+    return hit | F.col("term").startswith(text) if text else F.lit(False)
+
+
 def matching_terms(terms: DataFrame, text: str, exact_first: bool = False) -> DataFrame:
     """(term) that a prefix stands for."""
     fact = F.broadcast(facts(terms, text))

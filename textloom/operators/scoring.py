@@ -15,14 +15,29 @@ def formula(cfg, tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -
     return tf / dl * F.log10(n / df)
 
 
+def with_stats(index: Index, name: str, rows: DataFrame) -> DataFrame:
+    """Add ``n`` and ``avgdl``: constants of a persisted field, else one broadcast row."""
+    if name in index.facts:
+        n, avgdl = index.facts[name]
+        return rows.withColumns({"n": F.lit(n), "avgdl": F.lit(avgdl)})
+    return rows.crossJoin(F.broadcast(index.table("stats", name)))
+
+
+def score_terms(index: Index, name: str, rows: DataFrame) -> DataFrame:
+    """Scores of (doc_id, tf, dl, df, ...) rows of the term table; other columns stay."""
+    cfg = index.field(name)
+    told = with_stats(index, name, rows)
+    return told.withColumn("score", formula(cfg, F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))).drop("n", "avgdl")
+
+
 def score(index: Index, name: str, tfs: DataFrame, key: str | None = None) -> DataFrame:
     """Scores of (doc_id, tf) rows, or of (key, doc_id, tf) rows with frequencies per ``key``.
 
-    ``df`` counts the matched documents, so the same code serves terms, prefix unions and phrases. The
+    ``df`` counts the matched documents, so the same code serves prefix unions and phrases. The
     statistics are single rows (one per query term), joined by broadcast.
     """
     keys = [key] if key else []
     dfs = tfs.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
-    told = tfs.join(index.table("lengths", name), "doc_id").crossJoin(F.broadcast(index.table("stats", name)))
+    told = tfs.join(index.table("lengths", name), "doc_id")
     told = told.join(F.broadcast(dfs), key) if key else told.crossJoin(F.broadcast(dfs))
-    return told.select(*keys, "doc_id", "df", formula(index.field(name), F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("score"))
+    return score_terms(index, name, told).select(*keys, "doc_id", "df", "score")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import prefix
 from ..operators.index import GeoField, Index
-from ..operators.scoring import score
+from ..operators.scoring import score, score_terms
 from .query import OR, Bool, GeoPoint, GeoPolygon, Match, MatchAll, Phrase, Query, Range, Term
 
 
@@ -28,7 +28,13 @@ class Planner:
     # --- entry points ---
 
     def hits(self, q: Query) -> DataFrame:
-        """(doc_id, score); a term or point query can hold an id more than once."""
+        """(doc_id, score); a term or point query can hold an id more than once.
+
+        A query of another kind brings its own ``plan(planner)``, which returns such rows.
+        """
+        if hasattr(q, "plan"):
+            out = q.plan(self)
+            return out if q.boost is None else out.withColumn("score", F.col("score") * F.lit(float(q.boost)))
         out = getattr(self, f"_{type(q).__name__.lower()}")(q)
         return out if q.boost is None or isinstance(q, Phrase) else out.withColumn("score", F.col("score") * F.lit(float(q.boost)))
 
@@ -36,7 +42,8 @@ class Planner:
         return self._everything().where(F.lit(False))
 
     def analyse(self, name: str, text: str) -> list[str]:
-        row = self.index.spark.range(1).select(self.index.field(name).query_analyzer.tokens(F.lit(text)).alias("t")).first()
+        # over a row of the plan itself: evaluated by the optimizer, without a job
+        row = self.index.spark.sql("SELECT * FROM VALUES (1)").select(self.index.field(name).query_analyzer.tokens(F.lit(text)).alias("t")).first()
         return list(row["t"])
 
     # --- leaves ---
@@ -61,7 +68,7 @@ class Planner:
             keep = keep & (t >= low if q.gte is not None else t > low)
         if high is not None:
             keep = keep & (t <= high if q.lte is not None else t < high)
-        return self.index.table("postings", q.field).where(keep).select("doc_id").distinct().withColumn("score", F.lit(1.0))
+        return self.index.table("tfs", q.field).where(keep).select("doc_id").distinct().withColumn("score", F.lit(1.0))
 
     def _match(self, q: Match) -> DataFrame:
         if not self.index.is_text(q.field):
@@ -74,36 +81,40 @@ class Planner:
         return self.match_tokens(q.field, tokens, q.operation, q.prefix)
 
     def match_tokens(self, name: str, tokens: list[str], operation: str, expand: bool) -> DataFrame:
-        """All tokens in one scan of the postings and one aggregation per (token, document)."""
-        postings = self.index.table("postings", name)
+        """All tokens in one scan of the term table; one aggregation per document if there are several."""
         distinct = list(dict.fromkeys(tokens))
+        times = lambda c: F.coalesce(*(F.when(c == i, F.lit(float(tokens.count(t)))) for i, t in enumerate(distinct)))
         if expand:
-            parts = []
+            postings, parts = self.index.table("postings", name), []
             for i, t in enumerate(distinct):
                 terms = prefix.matching_terms(self.index.table("terms", name), t, exact_first=True)
-                own = postings.join(terms, "term", "left_semi").select(F.lit(i).alias("idx"), "doc_id", "pos")
+                own = postings.where(prefix.possible(t)).join(F.broadcast(terms), "term", "left_semi").select(F.lit(i).alias("idx"), "doc_id", "pos")
                 parts.append(own.distinct())
-            found = reduce(DataFrame.union, parts)
+            tfs = reduce(DataFrame.union, parts).groupBy("idx", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+            dfs = tfs.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
+            scored = score(self.index, name, tfs, "idx")
         else:
             number = F.coalesce(*(F.when(F.col("term") == t, F.lit(i)) for i, t in enumerate(distinct)))
-            found = postings.where(F.col("term").isin(distinct)).select(number.alias("idx"), "doc_id")
-        tfs = found.groupBy("idx", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-        scored = score(self.index, name, tfs, "idx")
-        times = F.coalesce(*(F.when(F.col("idx") == i, F.lit(float(tokens.count(t)))) for i, t in enumerate(distinct)))
-        per_doc = scored.groupBy("doc_id").agg(F.sum(F.col("score") * times).alias("score"), F.collect_set("idx").alias("has"))
+            asked = F.col("term").isin(distinct)
+            dfs = self.index.table("terms", name).where(asked).select(number.alias("idx"), "df")
+            rows = self.index.table("tfs", name).where(asked).select(number.alias("idx"), "doc_id", "tf", "dl")
+            scored = score_terms(self.index, name, rows.join(F.broadcast(dfs), "idx")).select("idx", "doc_id", "score")
+        if len(distinct) == 1:  # one row a document already
+            return scored.select("doc_id", (F.col("score") * times(F.col("idx"))).alias("score"))
+        per_doc = scored.groupBy("doc_id").agg(F.sum(F.col("score") * times(F.col("idx"))).alias("score"), F.collect_set("idx").alias("has"))
         if operation == OR:
             return per_doc.select("doc_id", "score")
         if self.strict:
             return per_doc.where(F.size("has") == len(distinct)).select("doc_id", "score")
         # the documents of the token with the fewest hits, if all have some
-        least = tfs.groupBy("idx").agg(F.count(F.lit(1)).alias("df")).agg(F.min(F.struct("df", "idx")).alias("least"), F.count(F.lit(1)).alias("hit"))
+        least = dfs.agg(F.min(F.struct("df", "idx")).alias("least"), F.count(F.lit(1)).alias("hit"))
         kept = per_doc.crossJoin(F.broadcast(least)).where((F.col("hit") == len(distinct)) & F.array_contains("has", F.col("least.idx")))
         return kept.select("doc_id", "score")
 
     def search_prefix(self, name: str, text: str) -> DataFrame:
         """Documents with a term of the prefix, scored with frequency 1."""
         terms = prefix.matching_terms(self.index.table("terms", name), text)
-        docs = self.index.table("postings", name).join(terms, "term", "left_semi").select("doc_id").distinct()
+        docs = self.index.table("tfs", name).where(prefix.possible(text)).join(F.broadcast(terms), "term", "left_semi").select("doc_id").distinct()
         return score(self.index, name, docs.withColumn("tf", F.lit(1))).select("doc_id", "score")
 
     def _phrase(self, q: Phrase) -> DataFrame:
@@ -127,7 +138,8 @@ class Planner:
         if not isinstance(cfg, GeoField):
             return self.empty()
         lat, lon = F.lit(float(q.latitude)), F.lit(float(q.longitude))
-        cells = self.index.table("cells", q.field).where(F.col("cell") == geo.geohash(lat, lon, cfg.precision)).select("doc_id").distinct()
+        mine = geo.beginnings(geo.geohash(lat, lon, cfg.precision), cfg.precision)
+        cells = self.index.table("cells", q.field).where(F.array_contains(mine, F.col("cell"))).select("doc_id").distinct()
         near = self.index.table("geometries", q.field).join(cells, "doc_id", "left_semi")
         same = (F.col("point")[0] == lon) & (F.col("point")[1] == lat)
         ok = F.when(F.col("type") == "Point", same).when(F.col("type") == "Polygon", geo.contains_point(F.col("rings"), lon, lat)).when(F.col("type") == "MultiPolygon", geo.multi_contains_point(F.col("polygons"), lon, lat))
@@ -138,8 +150,10 @@ class Planner:
         if not isinstance(cfg, GeoField):
             return self.empty()
         rings = F.lit([[[float(x), float(y)] for x, y in ring] for ring in q.rings])
-        cover = self.index.spark.range(1).select(F.explode(geo.cover(rings, cfg.precision)).alias("cell"))
-        cells = self.index.table("cells", q.field).join(cover, "cell", "left_semi").select("doc_id").distinct()
+        row = self.index.spark.sql("SELECT * FROM VALUES (1)").select(geo.cover(rings, cfg.precision).alias("c")).first()
+        size = len(row["c"][0])
+        asked = sorted({c[:k] for c in row["c"] for k in range(1, size + 1)})  # at most COVER hashes and their beginnings
+        cells = self.index.table("cells", q.field).where(F.substring("cell", 1, size).isin(asked)).select("doc_id").distinct()
         near = self.index.table("geometries", q.field).join(cells, "doc_id", "left_semi")
         mine = F.col("rings")
         ok = (

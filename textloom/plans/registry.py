@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,46 @@ _Q: dict = {}
 _SQL: dict[str, str] = {}
 
 
-def _text(spark: SparkSession, sf: str, ranking: str = BM25, **more) -> index.Index:
+_BUILT: dict = {}
+
+
+def _new_path(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+def _built(spark: SparkSession, sf: str, name: str, make) -> index.Index:
+    """The persisted index of a session and a data directory: built once, at the first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key in _BUILT:
+        path, ix = _BUILT[key]
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+        if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            return ix
+    path = _new_path(spark)
+    _BUILT[key] = path, state.persist(make(), path)
+    return _BUILT[key][1]
+
+
+def _text_now(spark: SparkSession, sf: str) -> index.Index:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    return index.build(docs, {"text": TextField(ranking=ranking, **more), "lang": TextField(analysis.KEYWORD, analysis.KEYWORD)})
+    return index.build(docs, {"text": TextField(ranking=BM25), "lang": TextField(analysis.KEYWORD, analysis.KEYWORD)})
+
+
+def _text(spark: SparkSession, sf: str, ranking: str = BM25, **more) -> index.Index:
+    return _built(spark, sf, "documents", lambda: _text_now(spark, sf)).with_field("text", TextField(ranking=ranking, **more))
 
 
 def _talks(spark: SparkSession, sf: str) -> index.Index:
     rows = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("v"))
-    return index.build(rows.select("conv_id", F.col("v.text").alias("text")), {"text": TextField(ranking=BM25)}, "conv_id")
+    made = index.build(rows.select("conv_id", F.col("v.text").alias("text")), {"text": TextField(ranking=BM25)}, "conv_id")
+    return _built(spark, sf, "conversations", lambda: made)
+
+
+def build_indexes(spark: SparkSession, sf: str) -> None:
+    """Build what the queries over documents, conversations and places read."""
+    for make in (_text, _talks, _places):
+        make(spark, sf)
 
 
 def _page(hits: DataFrame, limit: int | None = None) -> DataFrame:
@@ -43,7 +77,7 @@ def _add(name: str, sql: str | None = None):
 
 # --- SQL building blocks ---
 
-_TOKENS = r"""list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower({c}), '[''’]', '', 'g'), '[\\\]\[’''"!,.@#$%^&*()_+\-={{}}|><`~±§?;:/]', ' ', 'g')), '\s+'), lambda x: x <> '')"""
+_TOKENS = r"""list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower({c}), '[''’]', '', 'g'), '[\\\]\[''"!,.@#$%^&*()_+\-={{}}|><`~±§?;:/]', ' ', 'g')), '\s+'), lambda x: x <> '')"""
 
 
 def _postings(source: str = "SELECT doc_id, 0 AS vi, text AS v FROM documents") -> str:
@@ -89,7 +123,7 @@ def elision_filter(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", analysis.elision(F.col("text")).alias("text"))
 
 
-@_add("interpunction_filter", r"""SELECT page_id, regexp_replace(regexp_replace(html, '[\\\]\[’''"!,.@#$%^&*()_+\-={}|><`~±§?;:/]', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM pages""")
+@_add("interpunction_filter", r"""SELECT page_id, regexp_replace(regexp_replace(html, '[\\\]\[''"!,.@#$%^&*()_+\-={}|><`~±§?;:/]', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM pages""")
 def interpunction_filter(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", analysis.interpunction(F.col("html")).alias("text"))
 
@@ -261,19 +295,15 @@ def _embeddings(spark, sf):
     return index.build(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding"), {"embedding": VectorField(64, tables=4, bits=4)}, "vec_id")
 
 
-def _ranked(df, k):
-    return df.select("doc_id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(k)
-
-
 @_add("knn_exact", f"SELECT vec_id AS doc_id, {_SIM} AS similarity FROM embeddings ORDER BY similarity DESC, doc_id LIMIT 10")
 def knn_exact(spark, sf):
-    return _ranked(knn.nearest(_embeddings(spark, sf), "embedding", _PROBE, 50), 10)
+    return knn.nearest(_embeddings(spark, sf), "embedding", _PROBE, 10, digits=6).select("doc_id", "similarity")
 
 
 @_add("knn_filtered", f"SELECT vec_id AS doc_id, {_SIM} AS similarity FROM embeddings WHERE label = 1 ORDER BY similarity DESC, doc_id LIMIT 10")
 def knn_filtered(spark, sf):
     ix = _embeddings(spark, sf)
-    return _ranked(knn.nearest(ix, "embedding", _PROBE, 50, ix.docs.where("label = 1").select("doc_id")), 10)
+    return knn.nearest(ix, "embedding", _PROBE, 10, ix.docs.where("label = 1").select("doc_id"), digits=6).select("doc_id", "similarity")
 
 
 @_add("knn_lsh")
@@ -290,12 +320,18 @@ def bigram_counts(spark, sf):
     return docs.select("doc_id", F.explode(vectors.bigrams(analysis.Analyzer().tokens(F.col("text")))).alias("bigram")).select("doc_id", F.col("bigram").cast("int").alias("bigram")).groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("bigram_knn")
+_PROBE_TEXT = "that of the and in reth thin"
+
+
+@_add("bigram_knn", f"""WITH b AS ({_BIGRAMS.replace('{id}', 'item_id').replace('{t}', 'benchmark')}), c AS (SELECT item_id, g, count(*)::DOUBLE AS n FROM b GROUP BY ALL),
+q AS (SELECT g, count(*)::DOUBLE AS m FROM ({_BIGRAMS.replace('{id}', '0 AS i').replace('{t}', "(SELECT '" + _PROBE_TEXT + "' AS text)")}) GROUP BY g),
+d AS (SELECT item_id, sum(n * m) AS dot FROM c JOIN q USING (g) GROUP BY item_id), z AS (SELECT item_id, sqrt(sum(n * n)) AS size FROM c GROUP BY item_id)
+SELECT item_id AS doc_id, 0 AS vec_idx, round(coalesce(dot, 0) / (size * (SELECT sqrt(sum(m * m)) FROM q)), 6) AS similarity FROM z LEFT JOIN d USING (item_id) ORDER BY similarity DESC, doc_id LIMIT 5""")
 def bigram_knn(spark, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", vectors.bigram_vector(analysis.Analyzer().tokens(F.col("text"))).alias("v"))
     ix = index.build(items, {"v": VectorField(vectors.BIGRAMS)}, "item_id")
-    probe = spark.range(1).select(vectors.bigram_vector(analysis.Analyzer().tokens(F.lit("that of the and in reth thin"))).alias("v")).first()["v"]
-    return knn.nearest(ix, "v", probe, 5)
+    probe = spark.range(1).select(vectors.bigram_vector(analysis.Analyzer().tokens(F.lit(_PROBE_TEXT))).alias("v")).first()["v"]
+    return knn.nearest(ix, "v", probe, 5, digits=6)
 
 
 # --- geo ---
@@ -305,7 +341,8 @@ _LON, _LAT = "((c_custkey * 37) % 3600) / 10.0 - 180 + 0.05", "((c_custkey * 53)
 
 def _places(spark, sf):
     text = F.expr(f"concat('{{\"type\":\"Point\",\"coordinates\":[', cast({_LON} as double), ',', cast({_LAT} as double), ']}}')")
-    return index.build(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", text.alias("loc")), {"loc": GeoField(3)}, "c_custkey")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", text.alias("loc"))
+    return _built(spark, sf, "places", lambda: index.build(rows, {"loc": GeoField(3)}, "c_custkey"))
 
 
 @_add("geo_point", f"SELECT c_custkey AS doc_id, 1.0::DOUBLE AS score FROM customer WHERE ({_LON})::DOUBLE = (SELECT ({_LON})::DOUBLE FROM customer WHERE c_custkey = 5) AND ({_LAT})::DOUBLE = (SELECT ({_LAT})::DOUBLE FROM customer WHERE c_custkey = 5)")
@@ -318,7 +355,7 @@ def geo_polygon_points(spark, sf):
     return Planner(_places(spark, sf)).hits(GeoPolygon("loc", (((-20, -10), (30, -10), (30, 40), (-20, 40), (-20, -10)),)))
 
 
-@_add("geo_polygon_overlap")
+@_add("geo_polygon_overlap", "SELECT s_suppkey AS doc_id, 1.0::DOUBLE AS score FROM (SELECT s_suppkey, (s_suppkey * 37) % 340 - 170 AS x, (s_suppkey * 53) % 160 - 80 AS y FROM supplier) WHERE x <= 60 AND x + 4 >= -60 AND y <= 40 AND y + 4 >= -40")
 def geo_polygon_overlap(spark, sf):
     box = F.expr(f"concat('{{\"type\":\"Polygon\",\"coordinates\":[[[', x, ',', y, '],[', x + 4, ',', y, '],[', x + 4, ',', y + 4, '],[', x, ',', y + 4, '],[', x, ',', y, ']]]}}')")
     rows = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey", "(s_suppkey * 37) % 340 - 170 AS x", "(s_suppkey * 53) % 160 - 80 AS y")
@@ -327,11 +364,8 @@ def geo_polygon_overlap(spark, sf):
 
 @_add("state_roundtrip", _SQL["term_bm25"])
 def state_roundtrip(spark, sf):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
-    state.save(_text(spark, sf), path)
+    path = _new_path(spark)
+    state.save(_text_now(spark, sf), path)
     return _page(Planner(state.load(spark, path)).match_tokens("text", ["in"], "AND", False))
 
 

@@ -1,8 +1,8 @@
 """Saving and loading an index: a directory of Parquet tables and a small description.
 
-Text postings are written sorted by term, so that later term filters skip row groups. Rankings come back
+Text tables are written in ranges of (term, doc_id), so that later term filters skip files and row groups. Rankings come back
 from the description; analyzers are code and come from the mapping given on loading. Only fields in that
-mapping are restored.
+mapping are restored; one without saved state is empty.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.index import GeoField, Index, TextField, VectorField
 
-_TABLES = {TextField: ("postings", "lengths", "terms"), GeoField: ("geometries", "cells"), VectorField: ("vectors",)}
+_TABLES = {TextField: ("postings", "lengths", "tfs", "terms"), GeoField: ("geometries", "cells"), VectorField: ("vectors",)}
 _KIND = {TextField: "text", GeoField: "geo", VectorField: "vector"}
 
 
@@ -28,6 +28,7 @@ def save(index: Index, path: str) -> None:
     meta = {}
     names = [c for c in index.docs.columns if c != "doc_id"]
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    saved = Index(index.spark.read.schema(index.docs.schema).parquet(f"{path}/docs"), index.mapping)
     for name in names:
         cfg = index.field(name)
         meta[name] = {"kind": _KIND[type(cfg)]}
@@ -38,10 +39,16 @@ def save(index: Index, path: str) -> None:
         else:
             meta[name] |= {"dimensions": cfg.dimensions, "projections": cfg.planes()}
         for table in _TABLES[type(cfg)]:
-            df = index.table(table, name)
-            if "term" in df.columns:
-                df = df.repartitionByRange("term").sortWithinPartitions("term")
-            df.write.mode("overwrite").parquet(f"{path}/{name}/{table}")
+            df = (index if (table, name) in index.tables else saved).table(table, name)
+            if "term" in df.columns:  # a common word's rows spread over files
+                keys = [c for c in ("term", "doc_id") if c in df.columns]
+                df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            df.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/{name}/{table}")
+            # what follows is made from what is written
+            saved.tables[table, name] = index.spark.read.schema(df.schema).parquet(f"{path}/{name}/{table}")
+        if isinstance(cfg, TextField):
+            row = saved.table("stats", name).first()
+            meta[name] |= {"n": row["n"], "avgdl": row["avgdl"]}
     _text_file(index.spark, f"{path}/meta", json.dumps(meta))
 
 
@@ -59,6 +66,8 @@ def load(spark: SparkSession, path: str, mapping: dict | None = None) -> Index:
             raise ValueError(f"field {name} was saved as {saved['kind']}")
         if isinstance(cfg, TextField):
             out.mapping[name] = TextField(cfg.analyzer, cfg.query_analyzer, saved["ranking"], saved["k1"], saved["b"])
+            if saved.get("n"):
+                out.facts[name] = saved["n"], saved["avgdl"]
         elif isinstance(cfg, GeoField):
             out.mapping[name] = GeoField(saved["precision"])
         else:
@@ -68,6 +77,12 @@ def load(spark: SparkSession, path: str, mapping: dict | None = None) -> Index:
     return out
 
 
+def persist(index: Index, path: str) -> Index:
+    """Write an index and read it back: built once, queried often."""
+    save(index, path)
+    return load(index.spark, path, {n: index.field(n) for n in [*index.docs.columns, *index.mapping] if n != "doc_id"})
+
+
 def documents(df: DataFrame, id_col: str = "id", fields_col: str = "fields", names: list[str] | None = None) -> DataFrame:
     """Rows (id, map of field to values) as one array column per field name."""
     return df.selectExpr(f"{id_col} AS doc_id", *(f"{fields_col}['{n}'] AS `{n}`" for n in names or []))
