@@ -73,7 +73,7 @@ def test_pii_formats_and_coreference(spark):
     a = "Write to Ann.Lee@mail3.example.com or ann.lee@MAIL3.example.com, call +1 (017) 555-7713 or (017) 555-7713."
     b = 'Card 9807915762804490 and 4111 1111 1111 1111, host 97.51.17.173, local 192.168.3.4, token = "cf1d64a9a4cd9723e1f4eafc27395915e6868ffa", TOKEN = "CF1D64A9A4CD9723E1F4EAFC27395915E6868FFA", 123-45-6789.'
     c = "Mr. Paul Smith met Mary Jones and MARY JONES; Иван Петров said so. In 1999, 12 of 4,000 came at 10.30."
-    rows = pii.replace_pii(docs(spark, [a, b, c, None, "", "plain text, 3.14 and 2024-01-02"], source=["s"] * 6)).orderBy("doc_id").collect()
+    rows = pii.replace_pii(docs(spark, [a, b, c, None, "", "plain text, 3.14 and 2024-01-02"], source=["s"] * 6), key=pii.QUERY_KEY).orderBy("doc_id").collect()
     x, y, z = (r["text"] for r in rows[:3])
     for old in ("nn.Lee", "555-7713", "mail3", "9807915762804490", "4111 1111", "97.51.17.173", "cf1d64a9", "CF1D64", "123-45", "192.168.3.4", "Smith", "Jones", "JONES", "Петров"):
         assert old not in x + y + z
@@ -95,9 +95,49 @@ def test_pii_formats_and_coreference(spark):
     assert rows[0]["source"] == "s" and rows[5]["n_entities"] == 0
 
 
+def test_pii_other_scripts_and_whole_domains(spark):
+    text = "иван.петров@mail.ru j.doe@hr.smith-family.com a.b@firm.co.uk müller@post.example.org"
+    out = pii.replace_pii(docs(spark, [text]), key=b"another key").first()["text"].split()
+    assert all(x not in " ".join(out) for x in ("иван", "петров", "mail", "hr.", "smith", "family", "firm", "müller", "post"))
+    assert re.fullmatch(r"[а-яё\u0450-\u047f]{4}\.[а-яё\u0450-\u047f]{6}@[a-z]{4}\.ru", out[0])
+    assert re.fullmatch(r"[a-z]\.[a-z]{3}@[a-z]{2}\.[a-z]{5}-[a-z]{6}\.com", out[1])
+    assert re.fullmatch(r"[a-z]\.[a-z]@[a-z]{4}\.co\.uk", out[2]) and out[3].endswith(".example.org")
+    assert len({pii.reshape(chr(c), b"k", "t") for c in range(0x430, 0x450)}) == 32
+    with pytest.raises(TypeError):
+        pii.replace_pii(docs(spark, [text]))
+
+
+def test_pii_distinct_and_coreferent_over_a_table(spark):
+    r = random.Random(31)
+    mails = [f"{r.choice('abcdefgh')}{i}@{r.choice(['mail', 'post', 'web'])}.{r.choice(['com', 'org'])}" for i in range(80)]
+    phones = [f"({r.randint(100, 999)}) {r.randint(100, 999)}-{r.randint(1000, 9999)}" for _ in range(60)]
+    people = [f"Mr. {g} {s}" for g in ("James", "John", "Paul") for s in ("Reed", "Stone", "Marsh", "Field")]
+    known = mails + phones + people
+    texts = [" ; ".join(r.choice(known) for _ in range(12)) for _ in range(200)]
+    rows = pii.replace_pii(docs(spark, texts), key=pii.QUERY_KEY).collect()
+    became = defaultdict(set)
+    for x in rows:
+        for old, new in zip(texts[x["doc_id"]].split(" ; "), x["text"].split(" ; "), strict=True):
+            became[old].add(new)
+    assert all(len(v) == 1 for v in became.values())  # one surrogate for all mentions
+    new = [next(iter(v)) for v in became.values()]
+    assert len(set(new)) == len(new) and not set(new) & set(became)  # no two alike, and none a real one
+
+
+def test_pii_clashing_columns_long_texts_and_empty_tables(spark):
+    df = docs(spark, ["mail a@b.com", None], kinds=["x", "y"], n_entities=["1", "2"], _later=["p", "q"], _id=["r", "s"])
+    out = pii.replace_pii(df, key=pii.QUERY_KEY)
+    rows = out.orderBy("doc_id").collect()
+    assert out.columns[:6] == df.columns and len(out.columns) == 8
+    assert (rows[0]["kinds"], rows[0]["n_entities"], rows[0]["_later"], rows[0]["_id"]) == ("x", "1", "p", "r") and rows[0][6] == 1 and rows[0][7] == ["email"]
+    assert pii.replace_pii(df.limit(0), key=pii.QUERY_KEY).count() == 0
+    spans = pii.detect(" ".join(f"u{i}@mail.com" for i in range(30000)))
+    assert len(spans) == 30000 and spans == sorted(spans)
+
+
 def test_pii_permutations_are_bijections():
     for kind, values in {"phone": [f"{i:03d}" for i in range(1000)], "card": [f"{i:04d}" for i in range(10000)], "ipv4": [f"10.0.{i}.{j}" for i in range(40) for j in range(40)]}.items():
-        assert len({pii.surrogate(v, kind) for v in values}) == len(values)
+        assert len({pii.surrogate(v, kind, key=pii.QUERY_KEY) for v in values}) == len(values)
 
 
 def test_pii_collisions_are_resolved(spark, monkeypatch):
@@ -107,32 +147,32 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     # names drawn at attempt 0 fall on two values only
     module = pii
 
-    def narrow(canon, kind, attempt=0, key=module.KEY):
-        return real(canon, kind, attempt, key) if attempt else "m|paul|" + "ab"[len(canon) % 2]
+    def narrow(canon, kind, attempt=0, key=module.QUERY_KEY):
+        return real(canon, kind, attempt, key=key) if attempt else "m|paul|" + "ab"[len(canon) % 2]
 
     drawn = {}
     monkeypatch.setattr(pii, "_drawn", lambda rows, key: rows.sparkSession.createDataFrame([(r["kind"], r["canon"], r["attempt"], narrow(r["canon"], r["kind"], r["attempt"], key)) for r in rows.collect()] or [], "kind string, canon string, attempt int, new string"))
-    drawn = pii.resolve(found, pii.KEY).collect()
+    drawn = pii.resolve(found, pii.QUERY_KEY).collect()
     assert len(drawn) == 8 == len({r["new"] for r in drawn}) and any(r["attempt"] for r in drawn)
 
 
 def test_pii_later_attempts_reach_the_text(spark, monkeypatch):
     later = [("name", "m|paul|alder", 2, "")]
     monkeypatch.setattr(pii, "resolve", lambda found, key: found.sparkSession.createDataFrame(later, "kind string, canon string, attempt int, new string"))
-    got = [r["text"] for r in pii.replace_pii(docs(spark, ["Mr. Paul Alder", "Mr. Paul Birch"])).orderBy("doc_id").collect()]
-    assert got[0] == pii.render("Mr. Paul Alder", "name", pii.surrogate("m|paul|alder", "name", 2))
-    assert got[1] == pii.render("Mr. Paul Birch", "name", pii.surrogate("m|paul|birch", "name", 0))
+    got = [r["text"] for r in pii.replace_pii(docs(spark, ["Mr. Paul Alder", "Mr. Paul Birch"]), key=pii.QUERY_KEY).orderBy("doc_id").collect()]
+    assert got[0] == pii.render("Mr. Paul Alder", "name", pii.surrogate("m|paul|alder", "name", 2, key=pii.QUERY_KEY))
+    assert got[1] == pii.render("Mr. Paul Birch", "name", pii.surrogate("m|paul|birch", "name", 0, key=pii.QUERY_KEY))
 
 
 def test_pii_names_stay_distinct_when_the_lists_are_used_up(spark, monkeypatch):
     monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
     people = [f"Mr. {g}" for g in pii.GIVEN["latin", "m"]] + [f"Госпожа {g}" for g in pii.GIVEN["cyrillic", "f"]] + ["Mr. Barbarbarbarden", "Mr. Paul Smith"]
     found = pii.entities(docs(spark, [", ".join(people)]), "doc_id", "text")
-    drawn = pii.resolve(found, pii.KEY).collect()
+    drawn = pii.resolve(found, pii.QUERY_KEY).collect()
     canons = {r["canon"] for r in drawn}
     shown = {r["new"].replace("||", "|").rstrip("|") for r in drawn}
     assert len(drawn) == len(people) == len(shown) and not {c.replace("||", "|").rstrip("|") for c in canons} & shown
-    out = pii.replace_pii(docs(spark, [", ".join(people)])).first()["text"].split(", ")
+    out = pii.replace_pii(docs(spark, [", ".join(people)]), key=pii.QUERY_KEY).first()["text"].split(", ")
     assert len(set(out)) == len(people) and not set(out) & set(people)
     assert all(o.split()[0] == p.split()[0] for o, p in zip(out, people, strict=True))
 
@@ -532,6 +572,14 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack(packing.pieces(df.limit(0))).count() == 0
 
 
+def test_both_ways_of_counting_words_agree(spark):
+    texts = ["a\u00a0b c\u3000d", "x\x1cy z", " \t lead and\x0btail \f", "", None, "one"]
+    df = docs(spark, texts)
+    counted = {r["doc_id"]: r["tokens"] for r in packing.pieces(df).collect()}
+    assert counted == {0: 3, 1: 3, 2: 4, 3: 1, 4: 1, 5: 2}
+    assert {r["doc_id"]: r["tokens"] for r in packing.pack_texts(df).collect()} == counted
+
+
 # --- 8: SimHash ---
 
 

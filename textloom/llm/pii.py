@@ -16,23 +16,30 @@ name of the corpus or of the draws has; a title keeps the gender of a given name
 (values of other kinds can use up all strings of their shape), an error is raised.
 The entities with a later attempt reach their documents by a join on the id.
 
+The key is the caller's secret; whoever has it can undo the permutations.
+
 Defined cases: a null text stays null; an empty text stays empty; repeated rows get equal texts; a null id
-works; a text without entities is left alone to the byte; an empty table gives no rows. Columns other
-than the text pass through ``replace_pii``.
+works; a text without entities is left alone to the byte; a very long text is searched whole, in time that grows with its
+length; where two kinds match, the earlier kind wins, and within one the first match; an empty table gives no rows.
+Columns other than the text pass through ``replace_pii``, whatever their names; where one is called ``n_entities`` or
+``kinds``, the added column gets another name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ordered_slots, read_documents
+from .common import fresh, materialize, ordered_slots, read_documents
 
-KEY = b"textloom surrogate key 1"
+#: Of the registered query, over invented texts. Real texts need a key of one's own.
+QUERY_KEY = b"textloom surrogate key 1"
 MAX_ATTEMPTS = 20
 #: Attempts from here on are numbers of names; in base 16 they have at least five digits, a drawn name has four syllables.
 NUMBERED = 16**4
@@ -53,6 +60,7 @@ SYLLABLES = {
     "latin": ("bar", "den", "fel", "gor", "hal", "kin", "lor", "mas", "nev", "par", "ros", "sol", "tan", "ver", "wil", "zan"),
     "cyrillic": ("бар", "ден", "фел", "гор", "хал", "кин", "лор", "мас", "нев", "пар", "рос", "сол", "тан", "вер", "вил", "зан"),
 }
+_SECOND_LEVEL = {"co", "com", "org", "net", "ac", "gov", "edu"}
 _GENDER = {n.casefold(): (s, g) for (s, g), names in GIVEN.items() for n in names}
 _TITLE_GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 
@@ -91,9 +99,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for kind in kinds:
         for m in PATTERNS[kind].finditer(text):
             a, b = m.span(1) if m.lastindex else m.span()
-            if all(b <= x or y <= a for x, y, _ in found):
-                found.append((a, b, kind))
-    return sorted(found)
+            at = bisect_left(found, (a,))
+            if (not at or found[at - 1][1] <= a) and (at == len(found) or b <= found[at][0]):
+                found.insert(at, (a, b, kind))
+    return found
 
 
 def _round(key: bytes, *parts) -> int:
@@ -123,9 +132,20 @@ def permute(symbols: list[int], sizes: list[int], key: bytes, tweak: str) -> lis
 _AZ = "abcdefghijklmnopqrstuvwxyz"
 
 
+@lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The letters, or the digits, that a character can turn into: those of its script's block, in lower case."""
+    if c.isascii():
+        return "0123456789" if c.isdigit() else _AZ if c.isalpha() else ""
+    block = [chr(k) for k in range(ord(c) & ~127, (ord(c) & ~127) + 128)]
+    if c.isdecimal():
+        return "".join(x for x in block if x.isdecimal())
+    return "".join(x for x in block if x.isalpha() and x.lower() == x and len(x.upper()) == 1)
+
+
 def reshape(text: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
-    """Permute the letters and digits of a lower-case string among strings of the same shape."""
-    tables = [("0123456789abcdef" if hexadecimal else "0123456789" if c.isdigit() else _AZ) if c.isascii() and c.isalnum() else None for c in text]
+    """Permute the letters and digits of a lower-case string among strings of the same shape and scripts."""
+    tables = ["0123456789abcdef" if hexadecimal and c.isascii() and c.isalnum() else _alphabet(c) for c in text]
     at = [i for i, t in enumerate(tables) if t and text[i] in t]
     got = permute([tables[i].index(text[i]) for i in at], [len(tables[i]) for i in at], key, tweak)
     out = list(text)
@@ -176,14 +196,16 @@ def _gender(title: str, given: str) -> str:
     return g
 
 
-def surrogate(canon: str, kind: str, attempt: int = 0, key: bytes = KEY) -> str:
+def surrogate(canon: str, kind: str, attempt: int = 0, *, key: bytes) -> str:
     """The canonical form of an entity's surrogate."""
     tweak = f"{kind}:{attempt}"
     if kind == "email":
         local, domain = canon.rsplit("@", 1)
         labels = domain.split(".")
-        i = max(0, len(labels) - 3) if len(labels) > 2 else 0
-        labels[i] = reshape(labels[i], key, tweak)
+        # what stays: a domain reserved for examples, or the public end of the name
+        keep = 2 if labels[-2] == "example" else 1 + (len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in _SECOND_LEVEL)
+        for i in range(len(labels) - keep):
+            labels[i] = reshape(labels[i], key, f"{tweak}:{len(labels) - i}")
         return reshape(local, key, f"{tweak}:{domain}") + "@" + ".".join(labels)
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", canon):
@@ -284,7 +306,7 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            new = [surrogate(c, k, a, key) for k, c, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            new = [surrogate(c, k, a, key=key) for k, c, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(new, pa.string())], ["kind", "canon", "attempt", "new"])
 
     return rows.select("kind", "canon", F.col("attempt").cast("long")).mapInArrow(run, "kind string, canon string, attempt long, new string")
@@ -323,23 +345,26 @@ def resolve(found: DataFrame, key: bytes) -> DataFrame:
     return drawn
 
 
-def replace_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def replace_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: bytes) -> DataFrame:
     """``df`` with surrogates in its texts, and ``n_entities`` and ``kinds`` of what was replaced."""
+    own_id, held = fresh(df, "id", "later")
+    added = [n if n not in {c.lower() for c in df.columns} else fresh(df, n) for n in ("n_entities", "kinds")]
     found = materialize(entities(df, id_col, text_col), "pii-found")
     later = materialize(resolve(found, key).where("attempt > 0"), "pii-later")
     rows = df
     if not later.isEmpty():
-        own = found.join(later, ["kind", "canon"]).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("_later"))
-        rows = df.join(materialize(own, "pii-own"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+        own = found.join(later, ["kind", "canon"]).groupBy(F.col("id").alias(own_id)).agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias(held))
+        rows = df.join(materialize(own, "pii-own"), F.col(id_col).eqNullSafe(F.col(own_id)), "left").drop(own_id)
     else:
-        rows = df.withColumn("_later", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        rows = df.withColumn(held, F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
     columns = df.columns
+    at_text = columns.index(text_col)
 
     def run(batches):
         for b in batches:
             texts, sizes, kinds = [], [], []
-            later = b.column(b.schema.get_field_index("_later"))
-            for t, more in zip(b.column(b.schema.get_field_index(text_col)), later, strict=True):
+            later = b.column(len(columns))
+            for t, more in zip(b.column(at_text), later, strict=True):
                 text = t.as_py()
                 spans = detect(text) if text else []
                 if spans:
@@ -347,20 +372,20 @@ def replace_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                     parts, at = [], 0
                     for x, y, k in spans:
                         c = canonical(text[x:y], k)
-                        parts += [text[at:x], render(text[x:y], k, surrogate(c, k, attempts.get((k, c), 0), key))]
+                        parts += [text[at:x], render(text[x:y], k, surrogate(c, k, attempts.get((k, c), 0), key=key))]
                         at = y
                     text = "".join([*parts, text[at:]])
                 texts.append(text)
                 sizes.append(len(spans))
                 kinds.append(sorted({k for _, _, k in spans}))
-            arrays = [pa.array(texts, pa.string()) if c == text_col else b.column(b.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], [*columns, "n_entities", "kinds"])
+            arrays = [pa.array(texts, pa.string()) if i == at_text else b.column(i) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], [*columns, *added])
 
-    schema = df.withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array(F.lit(""))).schema
+    schema = df.withColumn(added[0], F.lit(0).cast("long")).withColumn(added[1], F.array(F.lit(""))).schema
     for f in schema.fields:
         f.nullable = True
-    return rows.select(*columns, "_later").mapInArrow(run, schema)
+    return rows.select(*(F.col(f"`{c}`") for c in columns), held).mapInArrow(run, schema)
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return replace_pii(read_documents(spark, sf_dir).select("doc_id", "text"), key=QUERY_KEY)
