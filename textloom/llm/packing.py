@@ -3,10 +3,12 @@
 Packing depends on lengths alone, so the plan is made from the histogram of lengths (at most
 ``max(capacities)`` rows, whatever the input's size). Lengths are taken in descending order. All pieces of
 a length go, as many at once as there are bins, to the open bins with the least room that fits them;
-what is left opens new bins. Which size to open is decided jointly: the plan is made once for every
-permitted size as the preferred one (a longer piece opens the least size it fits), and once more with
-the size whose cost per token is least, given what is still to be packed; the plan of the least total
-cost wins. At the end every bin is downsized to the least size that holds its contents.
+what is left opens new bins. Which sizes to open is decided jointly: a policy names the size to open for the
+pieces of each class (a class: the least size that a piece fits). Plans are made for every permitted size as the preferred
+one of all classes and for the size whose cost per token is least, given what is still to be packed; from the best of them the search
+changes the size of one class at a time while the total cost falls, so that the sizes are chosen with regard to each other. At the
+end every bin is downsized to the least size that holds its contents. ``Plan.bound`` is a cost that no packing can
+go below, so total / bound tells how far a plan can be from the best.
 
 Pieces then take their places by rank: pieces of equal length are numbered along the document id with
 distributed slots, and a plan entry (length, first rank, bins) maps ranks to bins. Documents longer than the
@@ -45,6 +47,7 @@ class Plan:
         self.entries: list[tuple] = []
         self.bins: list[tuple] = []  # (first bin, bins, contents)
         self.total = 0.0
+        self.bound = 0.0
 
 
 def _pack(histogram: dict[int, int], capacities: list[int], opened) -> Plan:
@@ -95,17 +98,45 @@ def _pack(histogram: dict[int, int], capacities: list[int], opened) -> Plan:
     return plan
 
 
+def lower_bound(histogram: dict[int, int], capacities) -> float:
+    """A piece's bin holds it and no more than its size, so its tokens cost at least the best rate of a size it fits."""
+    sizes = sorted(capacities)
+    best, rate = {}, float("inf")
+    for s in reversed(sizes):
+        best[s] = rate = min(rate, cost(s) / s)
+    return sum(n * length * best[sizes[bisect_left(sizes, length)]] for length, n in histogram.items())
+
+
 def plan_bins(histogram: dict[int, int], capacities=CAPACITIES) -> Plan:
-    """The least-cost plan over all policies of opening bins."""
+    """The least-cost plan found over the policies of opening bins, with a lower bound of any plan's cost."""
     sizes = sorted(capacities)
-    fits = lambda length: sizes[bisect_left(sizes, length)]
+    classes = sorted({bisect_left(sizes, length) for length in histogram})
 
     def cheapest(length, left):
         """The size with the least cost per token that will be in it."""
         return min((s for s in sizes if s >= length), key=lambda s: (cost(s) / min(s, max(length, left)), s))
 
-    policies = [lambda length, left, s=s: max(s, fits(length)) for s in sizes] + [cheapest]
-    return min((_pack(histogram, sizes, p) for p in policies), key=lambda p: p.total)
+    made: dict[tuple, Plan] = {}
+
+    def plan_of(policy: tuple) -> Plan:
+        if policy not in made:
+            size_of = dict(zip(classes, policy, strict=True))
+            made[policy] = _pack(histogram, sizes, lambda length, left: sizes[size_of[bisect_left(sizes, length)]])
+        return made[policy]
+
+    uniform = [tuple(max(i, c) for c in classes) for i in range(len(sizes))]
+    best = min(uniform, key=lambda p: plan_of(p).total)
+    better = True
+    while better:
+        better = False
+        for at, c in enumerate(classes):
+            for i in range(c, len(sizes)):
+                tried = (*best[:at], i, *best[at + 1 :])
+                if plan_of(tried).total < plan_of(best).total:
+                    best, better = tried, True
+    plan = min(plan_of(best), _pack(histogram, sizes, cheapest), key=lambda p: p.total)
+    plan.bound = lower_bound(histogram, sizes)
+    return plan
 
 
 #: A word, as both engines see it: what stands between the white space of ASCII.
