@@ -226,6 +226,78 @@ def test_kd_shards_law_groups_and_slots(spark):
     assert {x["shard"] for x in kdtree.kd_shards(df, target_bytes=sum(size.values())).collect()} == {0}
 
 
+def brute_kd(points, leaves, first=0):
+    """{row: leaf} of rows (row, size, text hash, id, coordinates), node by node over sorted lists."""
+    if leaves == 1 or not points:
+        return {p[0]: first for p in points}
+    dims = range(len(points[0][4]))
+    spread = [max(p[4][d] for p in points) - min(p[4][d] for p in points) for d in dims]
+    dim = spread.index(max(spread))
+    weight = sum(p[1] for p in points)
+    want, leaf, rest = weight * (leaves // 2) / leaves, weight / leaves, weight
+    place = lambda p: (p[4][dim] << 128) + (p[2] + (1 << 63) << 64) + p[3] + (1 << 63)
+    side, cut = {}, None
+    while cut is None:
+        free = sorted((place(p), p[1], p[2]) for p in points if p[2] not in side)
+        before = 0
+        for key, size, text in free:
+            if before + size > want:
+                break
+            before += size
+        else:
+            cut = 1 << 160
+            break
+        for depth in range(1, 10):
+            shift = 144 - 16 * depth
+            bucket = [x for x in free if x[0] >> shift == key >> shift]
+            left, w = sum(x[1] for x in free if x[0] >> shift < key >> shift), sum(x[1] for x in bucket)
+            miss = min(left + w - want, want - left)
+            if w > 0.002 * leaf and depth == 5 and w <= leaf and miss > 0.005 * leaf and (w <= want or w <= rest - want):
+                side[text] = w > want
+                want, rest = want - w * (w <= want), rest - w
+                break
+            if w <= 0.002 * leaf or depth == 9 or (depth == 5 and w <= leaf):
+                cut = (key >> shift) + (left + w - want < want - left) << shift
+                break
+    right = {p[0] for p in points if side.get(p[2], place(p) >= cut)}
+    halves = [p for p in points if p[0] not in right], [p for p in points if p[0] in right]
+    return brute_kd(halves[0], leaves // 2, first) | brute_kd(halves[1], leaves - leaves // 2, first + leaves // 2)
+
+
+@pytest.mark.parametrize("leaves", [3, 8])
+def test_kd_shards_equal_a_tree_cut_node_by_node(spark, leaves):
+    r = random.Random(15)
+    texts = [prose(r.randint(1, 80), r) for _ in range(400)] + ["hot text " * 5] * 250 + [x for _ in range(12) for x in [prose(90, r)] * 6] + [None, "", "x" * 9000]
+    lang, source = [r.choice(["en", "de", None]) for _ in texts], [r.choice("abcdef") for _ in texts]
+    df = docs(spark, texts, lang=lang, source=source, node=["x"] * len(texts), shard=["x"] * len(texts), th=["x"] * len(texts))
+    got = {x["doc_id"]: x["shard"] for x in kdtree.kd_shards(df, shards=leaves).collect()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    size = [len((t or "").encode()) + 1 for t in texts]
+    text = [signed(xxhash.xxh64(t or "", seed=42).intdigest()) for t in texts]
+    code = lambda v: xxhash.xxh64("\0null" if v is None else v, seed=42).intdigest() >> 48
+    codes = [(min(65535, int(np.floor(np.log2(n) * 2048))), code(a), code(b)) for n, a, b in zip(size, lang, source, strict=True)]
+    least = {}
+    for h, c in zip(text, codes, strict=True):
+        least[h] = min(least.get(h, c[1:]), c[1:])
+    codes = [(c[0], *least[h]) for h, c in zip(text, codes, strict=True)]
+    total = sum(size)
+    before = [{} for _ in range(3)]
+    for d in range(3):
+        for v in {c[d] for c in codes}:
+            before[d][v] = int(sum(n for n, c in zip(size, codes, strict=True) if c[d] < v) / total * 65535)
+    rows = [(i, size[i], text[i], i, tuple(before[d][codes[i][d]] for d in range(3))) for i in range(len(texts))]
+    assert got == brute_kd(rows, leaves)
+    where, load = defaultdict(set), Counter()
+    for i, s in got.items():
+        where[texts[i] or ""].add(s)
+        load[s] += size[i]
+    of = Counter()
+    for t, n in zip(texts, size, strict=True):
+        of[t or ""] += n
+    assert all(len(w) == 1 for t, w in where.items() if of[t] < 0.9 * total / leaves)
+    assert max(load.values()) - min(load.values()) < 0.02 * total / leaves
+
+
 # --- 4: reply trees ---
 
 
@@ -532,6 +604,32 @@ def test_plan_is_valid_and_beats_fixed_sizes():
         assert plan.total <= packing._pack(hist, sizes, lambda length, left, s=s: max(s, min(x for x in sizes if x >= length))).total
 
 
+def test_plan_against_all_partitions_of_small_sets():
+    """The bound is below the best of all packings, and the plan is close to it."""
+    r = random.Random(12)
+    sizes = [64, 128, 256, 512]
+
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for rest in partitions(items[1:]):
+            yield [items[0], *rest]
+            for i, b in enumerate(rest):
+                if b + items[0] <= sizes[-1]:
+                    yield [*rest[:i], b + items[0], *rest[i + 1 :]]
+
+    plans, bests = 0.0, 0.0
+    for _ in range(60):
+        items = [r.randint(1, r.choice([60, 130, 512])) for _ in range(r.randint(1, 7))]
+        best = min(sum(packing.cost(min(s for s in sizes if s >= b)) for b in bins) for bins in partitions(items))
+        plan = packing.plan_bins(dict(Counter(items)), sizes)
+        assert plan.bound <= best + 1e-9 and best <= plan.total + 1e-9 and plan.total <= 1.5 * best
+        plans, bests = plans + plan.total, bests + best
+    assert plans <= 1.05 * bests
+    assert packing.plan_bins({}, sizes).total == packing.plan_bins({}, sizes).bound == 0
+
+
 def test_group_packing_equals_best_fit_decreasing_piece_by_piece():
     """With one bin size the grouped plan has as many bins as best fit item by item, with equal contents."""
     r = random.Random(8)
