@@ -267,7 +267,7 @@ def brute_kd(points, leaves, first=0):
 @pytest.mark.parametrize("leaves", [3, 8])
 def test_kd_shards_equal_a_tree_cut_node_by_node(spark, leaves):
     r = random.Random(15)
-    texts = [prose(r.randint(1, 80), r) for _ in range(400)] + ["hot text " * 5] * 250 + [x for _ in range(12) for x in [prose(90, r)] * 6] + [None, "", "x" * 9000]
+    texts = [prose(r.randint(1, 20), r) for _ in range(400)] + ["hot text " * 5] * 250 + [x for _ in range(12) for x in [prose(90, r)] * 6] + [None, "", "x" * 9000]
     lang, source = [r.choice(["en", "de", None]) for _ in texts], [r.choice("abcdef") for _ in texts]
     df = docs(spark, texts, lang=lang, source=source, node=["x"] * len(texts), shard=["x"] * len(texts), th=["x"] * len(texts))
     got = {x["doc_id"]: x["shard"] for x in kdtree.kd_shards(df, shards=leaves).collect()}
