@@ -203,6 +203,40 @@ def test_warc_chunk_table_carries_running_digests(spark):
     assert [c["running"] for c in chunks] == [warc.b32(hashlib.sha1(b"abcdefghij"[:n]).digest()) for n in (4, 8, 10)]
 
 
+def test_warc_payloads_of_line_ends_and_many_chunks(spark):
+    r = random.Random(17)
+    rows = [(i, "u", bytes(r.choice(b"\r\n\r\nab") for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 50, 700, 3000] * 6)]
+    rows += [(100 + n, "u", b"\r\n" * n + b"\r" * (n % 3)) for n in range(8)]
+    rows.append((200, "u", r.randbytes(9 * warc.CHUNK_BYTES + 5)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html binary")
+    for size, part in ((warc.CHUNK_BYTES, df), (7, df.where("length(html) < 100"))):
+        got = {x["page_id"]: x for x in warc.roundtrip(part, "page_id", "html", "url", chunk_bytes=size).collect()}
+        assert all(got[i]["payload_digest"] == warc.b32(hashlib.sha1(p).digest()) for i, _, p in rows if i in got) and len(got) == part.count()
+    assert warc.roundtrip(df, "page_id", "html", "url").where("page_id = 200").first()["segments"] == 10
+
+
+def test_warc_damaged_archives_raise():
+    whole = b""
+    for n, chunk in enumerate((b"abcd", b"ef\r\n")):
+        kind = b"continuation" if n else b"response"
+        http = b"" if n else b"HTTP/1.1 200 OK\r\n\r\n"
+        run = warc.b32(hashlib.sha1(b"abcdef\r\n"[: 4 + 4 * n]).digest()).encode()
+        whole += b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:row:1>\r\nWARC-Payload-Digest: sha1:%s\r\nX-Running-Digest: sha1:%s\r\nX-Payload-Length: 8\r\n" % (kind, warc.b32(hashlib.sha1(b"abcdef\r\n").digest()).encode(), run)
+        whole += b"WARC-Segment-Number: %d\r\n" % (n + 1) + (b"WARC-Segment-Origin-ID: <urn:row:1>\r\nWARC-Segment-Total-Length: 8\r\n" if n else b"")
+        whole += b"Content-Length: %d\r\n\r\n" % (len(http) + 4) + http + chunk + b"\r\n\r\n"
+
+    def read(raw):
+        parts = raw.split(warc.GAP)
+        return list(warc.records_of(parts if parts[-1] else parts[:-1]))
+
+    assert read(whole) == [(1, 8, warc.b32(hashlib.sha1(b"abcdef\r\n").digest()), "response", None, 2)]
+    assert read(b"") == []
+    cuts = [whole[:n] for n in range(5, len(whole) - 4, 7)]
+    for bad in [*cuts, whole.replace(b"abcd", b"abcx"), whole.replace(b"WARC/1.1", b"WRC/1.1", 1), whole[whole.index(b"WARC/1.1", 9) :]]:
+        with pytest.raises(ValueError):
+            read(bad)
+
+
 # --- 3: k-d tree ---
 
 

@@ -5,8 +5,9 @@ chunks of at most ``chunk_bytes``, each carrying the SHA-1 of the payload up to
 no later step holds more than a chunk. ``write_archives`` writes the chunk rows as WARC/1.1 through
 Spark's own text writer (any file system, task-commit protocol): one record per chunk, a
 ``response`` first and ``continuation`` segments after it; a chunk's block ends with the CR LF CR LF
-that the writer puts between rows. ``read_archives`` inflates archives as a stream, keeps one segment
-at a time, carries the digest of a record from segment to segment and tests it against the headers.
+that the writer puts between rows. ``read_archives`` inflates archives as a stream through Spark's text
+reader, cut where the writer's line ends are, keeps one segment at a time, carries the digest of a record
+from segment to segment and tests it against the headers. An archive that is cut off or damaged raises an error.
 
 Defined cases: a null payload is empty. Of records with equal payloads of at least ``least`` bytes the
 one with the largest id is the response and the others are revisits without a payload; rows that
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -122,61 +124,32 @@ def write_archives(chunks: DataFrame, path: str, date: str = "2024-01-01T00:00:0
     chunks.select(block.alias("value")).write.option("lineSep", GAP.decode()).option("compression", "gzip").text(path)
 
 
-class _Feed:
-    """Bytes of a gzip file, inflated as they are asked for."""
+def segments(parts):
+    """(headers, block) of each record of one archive; ``parts`` are what lies between its gaps, in order."""
+    parts, have = iter(parts), bytearray()
 
-    def __init__(self, packed: memoryview):
-        self.packed, self.at, self.z, self.have = packed, 0, zlib.decompressobj(31), b""
+    def more() -> bool:
+        part = next(parts, None)
+        if part is not None:
+            have.extend(part + GAP)
+        return part is not None
 
-    def more(self) -> bool:
-        while True:
-            if self.z.eof:
-                rest = self.z.unused_data
-                if not rest and self.at >= len(self.packed):
-                    return False
-                self.z, source = zlib.decompressobj(31), rest
-            elif self.z.unconsumed_tail:
-                source = self.z.unconsumed_tail
-            else:
-                source = b""
-            if not source:
-                if self.at >= len(self.packed):
-                    return False
-                source = self.packed[self.at : self.at + (1 << 16)]
-                self.at += len(source)
-            got = self.z.decompress(source, 1 << 18)
-            if got:
-                self.have += got
-                return True
-
-    def until(self, mark: bytes) -> bytes | None:
-        seen = 0
-        while (at := self.have.find(mark, seen)) < 0:
-            seen = max(0, len(self.have) - len(mark))
-            if not self.more():
-                return None
-        out, self.have = self.have[:at], self.have[at + len(mark) :]
-        return out
-
-    def take(self, n: int) -> bytes:
-        while len(self.have) < n:
-            if not self.more():
-                raise ValueError("WARC file cut off")
-        out, self.have = self.have[:n], self.have[n:]
-        return out
-
-
-def segments(packed: memoryview):
-    """(headers, block) of each record of a gzip-compressed WARC file."""
-    feed = _Feed(packed)
-    while (head := feed.until(GAP)) is not None:
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    # the last part may stand for a line end without a gap, which leaves one gap too many
+    while have not in (b"", GAP) or more():
+        at = have.index(GAP)
+        head = bytes(have[:at])
+        fields = dict(line.partition(": ")[::2] for line in head.decode(errors="replace").split("\r\n"))
+        if not head.startswith(b"WARC/") or not fields.get("Content-Length", "").isdigit():
             raise ValueError("no WARC record where one should start")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        block = feed.take(int(fields["Content-Length"]))
-        if feed.take(len(GAP)) != GAP:
+        del have[: at + len(GAP)]
+        size = int(fields["Content-Length"])
+        while len(have) < size + len(GAP):
+            if not more():
+                raise ValueError("WARC file cut off")
+        if have[size : size + len(GAP)] != GAP:
             raise ValueError("WARC record not closed")
+        block = bytes(have[:size])
+        del have[: size + len(GAP)]
         yield fields, block
 
 
@@ -185,14 +158,14 @@ def _row_id(urn: str) -> int | None:
     return None if text == "null" else int(text)
 
 
-def records_of(packed: memoryview):
-    """(rec_id, payload_bytes, digest, record_type, refers_to, segments) of each record of a file.
+def records_of(parts):
+    """(rec_id, payload_bytes, digest, record_type, refers_to, segments) of each record of one archive.
 
     The digest is recomputed from the payload read, segment by segment, and must equal the header's;
     a revisit has the digest its header gives.
     """
     sha = row = None
-    for fields, block in segments(packed):
+    for fields, block in segments(parts):
         kind = fields["WARC-Type"]
         if kind == "continuation":
             if row is None or _row_id(fields["WARC-Segment-Origin-ID"]) != row[0]:
@@ -220,27 +193,28 @@ def records_of(packed: memoryview):
                 raise ValueError("WARC payload digest differs")
             yield tuple(row[:6])
             row = None
+    if row is not None:
+        raise ValueError("WARC record without its last segment")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``."""
+    """One row per record of the archives below ``path``.
+
+    Spark's text source inflates each archive as a stream and cuts it at the gaps; a gzip file is never split, so its
+    parts come to one task in their order. No part is longer than a chunk, and a part goes once its record is read.
+    """
     names = ["rec_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches):
-        for b in batches:
-            for cell in b.column(0):
-                rows = []
-                for row in records_of(memoryview(cell.as_buffer())):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "rec_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments long")
+        parts = ((file, v.as_py()) for b in batches for file, v in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        records = chain.from_iterable(records_of(part for _, part in own) for _, own in groupby(parts, itemgetter(0)))
+        while rows := list(islice(records, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    files = spark.read.option("lineSep", GAP.decode()).option("pathGlobFilter", "part-*").text(path)
+    parts = files.select(F.col("_metadata.file_name").alias("file"), F.col("value").cast("binary").alias("part"))
+    return parts.mapInArrow(run, "rec_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments long")
 
 
 def roundtrip(df: DataFrame, id_col: str, payload_col: str, url_col: str, least: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
