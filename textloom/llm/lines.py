@@ -44,6 +44,8 @@ GROUP_CHUNK = (128, 1024)
 #: Prefix entries that are joined in memory at once, about.
 PART_ENTRIES = 1 << 20
 BLOOM_BITS = 1 << 24
+#: Bytes of text whose words are handled at once: their arrays stay in a core's cache.
+TEXT_SLICE = 1 << 20
 _SLICE = 1 << 14
 _SEQ = np.uint64(0x9E3779B97F4A7C15)
 #: Sizes from which a set's parity sketch has 128 and 256 bits.
@@ -172,9 +174,9 @@ def scan_lines(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
 
     def run(batches):
         total, id_type = np.zeros(BUCKETS, np.int32), None
-        for b, texts in text_slices(batches, "t"):
+        for b, texts in text_slices(batches, "t", TEXT_SLICE):
             w = Words(texts)
-            total += np.bincount(bucket(w.hash), minlength=BUCKETS).astype(np.int32)
+            np.add.at(total, bucket(w.hash), np.int32(1))
             full, cls = classes_of(w)
             id_type = b.column(0).type
             n = len(full)
@@ -195,13 +197,16 @@ class Fresh:
     """The classes of a slice that the slices just before it in a task did not have: each once."""
 
     def __init__(self):
-        self.seen = np.zeros(0, np.int64)
+        self.seen, self.older = set(), set()
 
     def pick(self, cls: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
         _, new = np.unique(cls, return_index=True)
         new = new if also is None else new[also[new]]
-        new = np.sort(new[~np.isin(cls[new], self.seen)])
-        self.seen = np.concatenate([self.seen, cls[new]])[-(1 << 18) :]
+        new = np.sort(new)
+        new = new[np.array([c not in self.seen and c not in self.older for c in cls[new].tolist()], bool)]
+        if len(self.seen) > 1 << 17:
+            self.seen, self.older = set(), self.seen
+        self.seen.update(cls[new].tolist())
         return new
 
 
@@ -231,12 +236,12 @@ def prefix_counts(df: DataFrame, text_col: str, counts: np.ndarray) -> np.ndarra
 
     def run(batches):
         levels, fresh_ones, total = held.value, Fresh(), np.zeros(BUCKETS, np.int32)
-        for _, texts in text_slices(batches, "t"):
+        for _, texts in text_slices(batches, "t", TEXT_SLICE):
             w = Words(texts)
             full, cls = classes_of(w)
             new = fresh_ones.pick(cls)
             if len(new):
-                total += np.bincount(_token_bucket(_prefixes(*_sets(w, full, new, levels))[0]), minlength=BUCKETS).astype(np.int32)
+                np.add.at(total, _token_bucket(_prefixes(*_sets(w, full, new, levels))[0]), np.int32(1))
         slices, packed = _counter_rows(total)
         yield pa.RecordBatch.from_arrays([slices, packed], ["slice", "counts"])
 
@@ -268,7 +273,7 @@ def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, entries: np
             packed = [pack_entries(*(c[o[i:j]] for c in (cell, n, pos, cls, sig))) for i, j in zip(at, to, strict=True)]
             return pa.RecordBatch.from_pydict({"part": pa.array(part[at], pa.int32()), "entries": pa.array(packed, pa.binary())})
 
-        for _, texts in text_slices(batches, "t"):
+        for _, texts in text_slices(batches, "t", TEXT_SLICE):
             w = Words(texts)
             full, cls = classes_of(w)
             new = fresh_ones.pick(cls)
@@ -400,7 +405,7 @@ def fetch_sets(df: DataFrame, text_col: str, counts: np.ndarray, bits: np.ndarra
         levels, packed = held.value
         bits = np.unpackbits(packed).astype(bool)
         fresh_ones = Fresh()
-        for _, texts in text_slices(batches, "t"):
+        for _, texts in text_slices(batches, "t", TEXT_SLICE):
             w = Words(texts)
             full, cls = classes_of(w)
             hit = np.ones(len(cls), bool)
