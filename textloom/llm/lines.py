@@ -266,7 +266,7 @@ def prefix_entries(df: DataFrame, text_col: str, counts: np.ndarray, entries: np
             scrambled = mix(cell)
             part = (scrambled % np.uint64(parts)).astype(np.int64)
             cell = (scrambled >> np.uint64(32)).astype(np.uint32)
-            o = np.lexsort((cell, part))
+            o = np.argsort(part.astype(np.uint64) << np.uint64(32) | cell)
             part = part[o]
             at = np.flatnonzero(np.diff(part, prepend=-1))
             to = np.append(at[1:], len(part))
@@ -353,9 +353,11 @@ def candidate_links(entries: DataFrame) -> DataFrame:
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, n, pos, cls, sig = (np.concatenate(c) for c in zip(*(unpack_entries(c.as_buffer()) for b in batches for c in b.column(1)), strict=True))
-        _, which, times = np.unique(cell, return_inverse=True, return_counts=True)
-        keep = np.flatnonzero(times[which] > 1)
-        o = keep[np.lexsort((cls[keep], n[keep], cell[keep]))]
+        keep = np.argsort(cell)
+        twin = np.zeros(len(keep) + 1, bool)
+        twin[1:-1] = cell[keep][1:] == cell[keep][:-1]
+        keep = keep[twin[1:] | twin[:-1]]
+        o = keep[np.lexsort((cls[keep], cell[keep].astype(np.uint64) << np.uint64(32) | n[keep]))]
         once = np.ones(len(o), bool)
         once[1:] = (cell[o][1:] != cell[o][:-1]) | (cls[o][1:] != cls[o][:-1])
         o = o[once]
