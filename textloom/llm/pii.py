@@ -81,7 +81,17 @@ PATTERNS = {
 }
 _DIGIT = re.compile(r"\d")
 _HINT = re.compile(rf"(?i)token|secret|passw|key|akia|[sp]k[_-]|gh[po]_|[0-9a-f]{{32}}")
-_NAME_HINT = re.compile(rf"\b(?:{_titles}|{_given}|{_given_upper})\b")
+_HEX = re.compile(r"[0-9a-f]{32}")
+_HINTS = ("token", "secret", "passw", "key", "akia", "sk_", "sk-", "pk_", "pk-", "ghp_", "gho_")
+_NAME_HINT = re.compile(rf"\b(?={_UP})(?:{_titles}|{_given}|{_given_upper})\b")
+
+
+def _may_hold_secret(text: str) -> bool:
+    """What ``_HINT`` finds, by plain substrings unless the text has letters that match others without case."""
+    if any(c in text for c in "İıſ\u212a"):
+        return _HINT.search(text) is not None
+    low = text.lower()
+    return any(h in low for h in _HINTS) or _HEX.search(low) is not None
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -89,7 +99,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     kinds = []
     if "@" in text:
         kinds.append("email")
-    if _HINT.search(text):
+    if _may_hold_secret(text):
         kinds.append("secret")
     if _DIGIT.search(text):
         kinds += ["iban", "ipv4", "ssn", "card", "phone"]
