@@ -4,8 +4,10 @@ An ``Index`` is a set of lazy DataFrames. A text field has postings, one row per
 value_idx, pos, term), positions restarting at every value; a geo field has its last geometry and that
 geometry's cells; a vector field one row per vector. Ids are unique per build: deduplicate upstream.
 ``tfs`` holds one row per (term, doc_id) with its frequency and the document's length, ``terms`` one per term with
-its counts. Tables are computed when they are read; ``sources.state.persist`` writes them, sorted by term and document,
-so a term filter prunes row groups and statistics are constants. A mapped field without a column is empty.
+its counts. Tables are computed when they are read; ``sources.state.persist`` writes a text field's ``forms``, one row
+per document with its tokens, and the terms: the other tables are views of the forms, so a build neither shuffles nor
+sorts occurrences, and a filter on terms works before anything is grouped. Statistics are constants then. A mapped field
+without a column is empty.
 """
 
 from __future__ import annotations
@@ -98,11 +100,31 @@ class Index:
         values = F.col(name) if kind.startswith("array") else F.when(F.col(name).isNotNull(), F.array(name))
         return self.docs.select("doc_id", F.posexplode(values).alias("value_idx", "value"))
 
+    def _forms(self, name: str) -> DataFrame:
+        """(doc_id, dl, values): the number of a document's tokens, and the tokens value by value. Ids are unique."""
+        kind, tokens = dict(self.docs.dtypes).get(name), self.field(name).analyzer.tokens
+        if kind is None:
+            found = F.lit(None).cast("array<array<string>>")
+        elif kind.startswith("array"):
+            found = F.transform(name, lambda v: F.when(v.isNotNull(), tokens(v)).otherwise(F.array().cast("array<string>")))
+        else:
+            found = F.when(F.col(name).isNotNull(), F.array(tokens(F.col(name))))
+        length = F.aggregate(F.coalesce("values", F.array().cast("array<array<string>>")), F.lit(0).cast("long"), lambda n, v: n + F.size(v))
+        return self.docs.select("doc_id", found.alias("values")).select("doc_id", length.alias("dl"), "values")
+
+    def _formed(self, name: str) -> bool:
+        return ("forms", name) in self.tables
+
     def _postings(self, name: str) -> DataFrame:
+        if self._formed(name):
+            values = self.table("forms", name).select("doc_id", F.posexplode("values").alias("value_idx", "value"))
+            return values.select("doc_id", "value_idx", F.posexplode("value").alias("pos", "term"))
         tokens = self.field(name).analyzer.tokens(F.col("value"))
         return self._values(name).where("value is not null").select("doc_id", "value_idx", F.posexplode(tokens).alias("pos", "term"))
 
     def _lengths(self, name: str) -> DataFrame:
+        if self._formed(name):
+            return self.table("forms", name).select("doc_id", "dl").where("dl > 0")
         return self.table("postings", name).groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"))
 
     def _stats(self, name: str) -> DataFrame:
@@ -110,11 +132,19 @@ class Index:
         return self.table("lengths", name).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
     def _tfs(self, name: str) -> DataFrame:
-        counted = self.table("postings", name).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-        return counted.join(self.table("lengths", name), "doc_id").select("term", "doc_id", "tf", "dl")
+        if self._formed(name):
+            long = self.table("forms", name).where("doc_id is not null").select("doc_id", "dl", F.explode(F.flatten("values")).alias("term"))
+            return long.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl")
+        found = self.table("postings", name).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+        return found.join(self.table("lengths", name), "doc_id").select("term", "doc_id", "tf", "dl")
 
     def _terms(self, name: str) -> DataFrame:
         """(term, df, cf): documents with the term, and its occurrences."""
+        if self._formed(name):  # of a document's sorted tokens, the first of each run stands for the document
+            words = self.table("forms", name).where("doc_id is not null").select(F.sort_array(F.flatten("values")).alias("words"))
+            each = words.select("words", F.posexplode("words").alias("pos", "term"))
+            first = (F.col("pos") == 0) | ~F.get("words", F.col("pos") - 1).eqNullSafe(F.col("term"))
+            return each.groupBy("term").agg(F.count(F.when(first, 1)).alias("df"), F.count(F.lit(1)).alias("cf"))
         return self.table("tfs", name).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
     def _geometries(self, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Saving and loading an index: a directory of Parquet tables and a small description.
 
-Text tables are written in ranges of (term, doc_id), so that later term filters skip files and row groups. Rankings come back
-from the description; analyzers are code and come from the mapping given on loading. Only fields in that
-mapping are restored; one without saved state is empty.
+Of a text field, one row per document is written with its tokens, and the dictionary of terms; where the postings are
+given (those of a stream), the tables of occurrences in ranges of (term, doc_id). Rankings come back from the description;
+analyzers are code and come from the mapping given on loading. Only fields in that mapping are restored; one without
+saved state is empty.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.index import GeoField, Index, TextField, VectorField
 
-_TABLES = {TextField: ("postings", "lengths", "tfs", "terms"), GeoField: ("geometries", "cells"), VectorField: ("vectors",)}
+_OF_POSTINGS = ("postings", "lengths", "tfs", "terms")
+_TABLES = {TextField: ("forms", "terms"), GeoField: ("geometries", "cells"), VectorField: ("vectors",)}
 _KIND = {TextField: "text", GeoField: "geo", VectorField: "vector"}
 
 
@@ -24,11 +27,27 @@ def _text_file(spark: SparkSession, path: str, content: str | None = None) -> st
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
 
+def _tables(index: Index, name: str, cfg) -> tuple:
+    given = isinstance(cfg, TextField) and ("postings", name) in index.tables and ("forms", name) not in index.tables
+    return _OF_POSTINGS if given else _TABLES[type(cfg)]
+
+
+def _one_each(docs: DataFrame, names: list[str]) -> DataFrame:
+    """One row per id: an id's rows become one with all their values, if any id comes again."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return docs
+    lists = {n: F.col(n) if dict(docs.dtypes)[n].startswith("array") else F.when(F.col(n).isNotNull(), F.array(n)) for n in names}
+    return docs.groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(n) for n, c in lists.items()))
+
+
 def save(index: Index, path: str) -> None:
     meta = {}
     names = [c for c in index.docs.columns if c != "doc_id"]
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    saved = Index(index.spark.read.schema(index.docs.schema).parquet(f"{path}/docs"), index.mapping)
+    docs = index.spark.read.schema(index.docs.schema).parquet(f"{path}/docs")
+    formed = [n for n in names if "forms" in _tables(index, n, index.field(n)) and ("forms", n) not in index.tables]
+    once = Index(_one_each(docs, formed) if formed else docs, index.mapping)
+    saved = Index(docs, index.mapping)
     for name in names:
         cfg = index.field(name)
         meta[name] = {"kind": _KIND[type(cfg)]}
@@ -38,9 +57,12 @@ def save(index: Index, path: str) -> None:
             meta[name] |= {"precision": cfg.precision}
         else:
             meta[name] |= {"dimensions": cfg.dimensions, "projections": cfg.planes()}
-        for table in _TABLES[type(cfg)]:
-            df = (index if (table, name) in index.tables else saved).table(table, name)
-            if "term" in df.columns:  # a common word's rows spread over files
+        meta[name]["tables"] = _tables(index, name, cfg)
+        for table in meta[name]["tables"]:
+            df = (index if (table, name) in index.tables else once if table == "forms" else saved).table(table, name)
+            if table == "terms":
+                df = df.sortWithinPartitions("term")
+            elif "term" in df.columns:  # a common word's rows spread over files
                 keys = [c for c in ("term", "doc_id") if c in df.columns]
                 df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
             df.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/{name}/{table}")
@@ -72,7 +94,7 @@ def load(spark: SparkSession, path: str, mapping: dict | None = None) -> Index:
             out.mapping[name] = GeoField(saved["precision"])
         else:
             out.mapping[name] = VectorField(saved["dimensions"], projections=tuple(saved["projections"]))
-        for table in _TABLES[type(cfg)]:
+        for table in saved.get("tables") or (_OF_POSTINGS if isinstance(cfg, TextField) else _TABLES[type(cfg)]):
             out.tables[table, name] = spark.read.parquet(f"{path}/{name}/{table}")
     return out
 
