@@ -68,7 +68,7 @@ class Planner:
             keep = keep & (t >= low if q.gte is not None else t > low)
         if high is not None:
             keep = keep & (t <= high if q.lte is not None else t < high)
-        return self.index.table("tfs", q.field).where(keep).select("doc_id").distinct().withColumn("score", F.lit(1.0))
+        return self.index.table("postings", q.field).where(keep).select("doc_id").distinct().withColumn("score", F.lit(1.0))
 
     def _match(self, q: Match) -> DataFrame:
         if not self.index.is_text(q.field):
@@ -114,7 +114,7 @@ class Planner:
     def search_prefix(self, name: str, text: str) -> DataFrame:
         """Documents with a term of the prefix, scored with frequency 1."""
         terms = prefix.matching_terms(self.index.table("terms", name), text)
-        docs = self.index.table("tfs", name).where(prefix.possible(text)).join(F.broadcast(terms), "term", "left_semi").select("doc_id").distinct()
+        docs = self.index.table("postings", name).where(prefix.possible(text)).join(F.broadcast(terms), "term", "left_semi").select("doc_id").distinct()
         return score(self.index, name, docs.withColumn("tf", F.lit(1))).select("doc_id", "score")
 
     def _phrase(self, q: Phrase) -> DataFrame:
