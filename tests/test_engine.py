@@ -287,3 +287,15 @@ def test_saved_index_neither_shuffles_nor_loses_occurrences(spark, tmp_path):
     plan = back._forms("t")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
     assert (tmp_path / "p4" / "t" / "forms").exists() and not (tmp_path / "p4" / "t" / "postings").exists()
+
+
+def test_bigram_counts_are_counted_within_rows(spark, tmp_path):
+    from textloom.plans import registry
+
+    texts = [(1, "Abab a b'a 7é7 ab"), (2, ""), (3, None), (4, "x"), (1, "ab"), (5, "aaaa " * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plain = docs.select("doc_id", F.explode(vectors.bigrams(analysis.Analyzer().tokens(F.col("text")))).alias("bigram")).groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
+    found = registry.bigram_counts(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.dtypes[1:] == [("bigram", "int"), ("n", "bigint")]
+    assert "sum(n" in found._jdf.queryExecution().executedPlan().toString()

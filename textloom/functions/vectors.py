@@ -59,6 +59,18 @@ def bigrams(tokens: Column) -> Column:
     return F.flatten(pairs)
 
 
+def bigram_runs(tokens: Column) -> Column:
+    """Each bigram of all tokens once, as many times over as it occurs, a blank behind each: "ab ab ab ". In native expressions."""
+    plain = F.array_join(F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", "")), " ")
+    pairs = F.split(F.regexp_replace(plain, "(?<=[a-z0-9])([a-z0-9])(?=[a-z0-9])", "$1 $1"), " ")
+    return F.regexp_extract_all(F.concat(F.array_join(F.sort_array(pairs), " "), F.lit(" ")), F.lit(r"([a-z0-9]{2} )\1*"), F.lit(0))
+
+
+def bigram_code(pair: Column) -> Column:
+    at = lambda c: F.ascii(c) - F.when(F.ascii(c) >= 97, 87).otherwise(48)
+    return (at(F.substring(pair, 1, 1)) * 36 + at(F.substring(pair, 2, 1))).cast("int")
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once, not wherever ``use`` names it."""
     return F.transform(F.array(value), use)[0]

@@ -316,8 +316,11 @@ _BIGRAMS = f"SELECT {{id}}, unnest(flatten(list_transform(list_transform({_TOKEN
 
 @_add("bigram_counts", f"SELECT doc_id, g::INT AS bigram, count(*) AS n FROM ({_BIGRAMS.replace('{id}', 'doc_id').replace('{t}', 'documents')}) GROUP BY doc_id, g")
 def bigram_counts(spark, sf):
+    # counted within each row first, so that only a document's different bigrams are dealt out
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return docs.select("doc_id", F.explode(vectors.bigrams(analysis.Analyzer().tokens(F.col("text")))).alias("bigram")).select("doc_id", F.col("bigram").cast("int").alias("bigram")).groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
+    runs = docs.select("doc_id", F.explode(vectors.bigram_runs(analysis.Analyzer().tokens(F.col("text")))).alias("run"))
+    each = runs.select("doc_id", vectors.bigram_code(F.col("run")).alias("bigram"), F.expr("length(run) div 3").alias("n"))
+    return each.groupBy("doc_id", "bigram").agg(F.sum("n").alias("n"))
 
 
 _PROBE_TEXT = "that of the and in reth thin"
