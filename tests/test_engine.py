@@ -299,3 +299,29 @@ def test_bigram_counts_are_counted_within_rows(spark, tmp_path):
     found = registry.bigram_counts(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.dtypes[1:] == [("bigram", "int"), ("n", "bigint")]
     assert "sum(n" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_default_analysis_is_one_pass_with_the_words_of_its_steps(spark):
+    import random
+
+    r = random.Random(5)
+    pool = [*" \t\n\x0b\x1c\x85\u00a0\u2028\u3000\u180e\u200b!-\\][\"'’^+/§±aBé\u0130ß\U0001f600", "the", "Of"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(14))) for _ in range(2000)] + ["", " \u00a0 ", "a \u00a0 \u00a0b \u00a0!", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("t"), "['’]", ""), analysis._PUNCTUATION_CLASS, " "), r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
+    words = F.filter(F.split(old, r"\s+"), lambda t: t.rlike(r"[^\s\p{Z}]"))
+    assert [x["t"] for x in df.where(~words.eqNullSafe(analysis.Analyzer().tokens(F.col("t")))).collect()] == []
+    # as the SQL has it: a next-line character is no white space, and a blank before it parts words
+    assert one(spark, analysis.Analyzer().tokens(F.lit("foo \x85"))) == ["foo", "\x85"]
+    plan = df.select(analysis.Analyzer().tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "regexp_replace" not in plan
+
+
+def test_dictionary_works_each_rows_tokens_out_once(spark, tmp_path):
+    rows = [(1, "b a b"), (2, "a"), (3, ""), (4, None), (None, "z")]
+    back = state.persist(index.build(spark.createDataFrame(rows, "doc_id long, t string"), {"t": TextField()}), str(tmp_path / "p"))
+    terms = back._terms("t")
+    assert sorted(map(tuple, terms.collect())) == [("a", 2, 2), ("b", 1, 2)]
+    for made in (terms, back.table("tfs", "t")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("flatten(values") == 1
+    assert "sort_array" not in terms._jdf.queryExecution().optimizedPlan().toString()

@@ -7,7 +7,8 @@ geometry's cells; a vector field one row per vector. Ids are unique per build: d
 its counts. Tables are computed when they are read; ``sources.state.persist`` writes a text field's ``forms``, one row
 per document with its tokens, and the terms: the other tables are views of the forms, so a build neither shuffles nor
 sorts occurrences, and a filter on terms works before anything is grouped. Statistics are constants then. A mapped field
-without a column is empty.
+without a column is empty. What is made by an expression is exploded by the outer form: for the inner one, Spark infers a
+filter on its size, which works the expression out a second time.
 """
 
 from __future__ import annotations
@@ -133,18 +134,19 @@ class Index:
 
     def _tfs(self, name: str) -> DataFrame:
         if self._formed(name):
-            long = self.table("forms", name).where("doc_id is not null").select("doc_id", "dl", F.explode(F.flatten("values")).alias("term"))
+            long = self.table("forms", name).where("doc_id is not null").select("doc_id", "dl", F.explode_outer(F.flatten("values")).alias("term")).where("term is not null")
             return long.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl")
         found = self.table("postings", name).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
         return found.join(self.table("lengths", name), "doc_id").select("term", "doc_id", "tf", "dl")
 
     def _terms(self, name: str) -> DataFrame:
         """(term, df, cf): documents with the term, and its occurrences."""
-        if self._formed(name):  # of a document's sorted tokens, the first of each run stands for the document
-            words = self.table("forms", name).where("doc_id is not null").select(F.sort_array(F.flatten("values")).alias("words"))
-            each = words.select("words", F.posexplode("words").alias("pos", "term"))
-            first = (F.col("pos") == 0) | ~F.get("words", F.col("pos") - 1).eqNullSafe(F.col("term"))
-            return each.groupBy("term").agg(F.count(F.when(first, 1)).alias("df"), F.count(F.lit(1)).alias("cf"))
+        if self._formed(name):  # behind a document's tokens, its different ones again, which count the document
+            words = self.table("forms", name).where("doc_id is not null").select(F.flatten("values").alias("words"))
+            both = words.select(F.size("words").alias("cf"), F.concat("words", F.array_distinct("words")).alias("both"))
+            each = both.select("cf", F.posexplode_outer("both").alias("pos", "term")).where("term is not null")
+            own = F.col("pos") < F.col("cf")
+            return each.groupBy("term").agg(F.count(F.when(~own, 1)).alias("df"), F.count(F.when(own, 1)).alias("cf"))
         return self.table("tfs", name).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
     def _geometries(self, name: str) -> DataFrame:
