@@ -325,3 +325,17 @@ def test_dictionary_works_each_rows_tokens_out_once(spark, tmp_path):
     for made in (terms, back.table("tfs", "t")):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("flatten(values") == 1
     assert "sort_array" not in terms._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prefix_matches_of_a_saved_index_read_its_tokens_once(spark, tmp_path):
+    rows = [(1, ["and or and", "andy an"]), (2, ["a and"]), (3, [""]), (4, None), (5, ["the"]), (None, ["and"])]
+    ix = index.build(spark.createDataFrame(rows, "doc_id long, t array<string>"), {"t": TextField(ranking=BM25)})
+    back = state.persist(index.build(ix.docs, ix.mapping), str(tmp_path / "p"))
+    assert sorted(back.table("placed", "t").where("doc_id = 1").select("pos", "term", "dl").collect()) == [(0, "and", 5), (0, "andy", 5), (1, "an", 5), (1, "or", 5), (2, "and", 5)]
+    for q in (Match("t", "andq", prefix=True), Match("t", "an", prefix=True), Match("t", "andq orx", OR, prefix=True)):
+        assert dict(map(tuple, Planner(back).hits(q).collect())) == pytest.approx(dict(map(tuple, Planner(ix).hits(q).collect())))
+    assert dict(map(tuple, Planner(back).search_prefix("t", "and").collect())) == pytest.approx(dict(map(tuple, Planner(ix).search_prefix("t", "and").collect())))
+    for found in (Planner(back).hits(Match("t", "andq", prefix=True)), Planner(back).search_prefix("t", "and")):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in plan and "SortMergeJoin" not in plan and plan.count("explode(values") == 1, plan

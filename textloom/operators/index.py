@@ -123,6 +123,13 @@ class Index:
         tokens = self.field(name).analyzer.tokens(F.col("value"))
         return self._values(name).where("value is not null").select("doc_id", "value_idx", F.posexplode(tokens).alias("pos", "term"))
 
+    def _placed(self, name: str) -> DataFrame:
+        """(doc_id, pos, term): occurrences, with their document's length ``dl`` where the rows they come from have it."""
+        if self._formed(name):
+            values = self.table("forms", name).select("doc_id", "dl", F.explode("values").alias("value"))
+            return values.select("doc_id", "dl", F.posexplode("value").alias("pos", "term"))
+        return self.table("postings", name).select("doc_id", "pos", "term")
+
     def _lengths(self, name: str) -> DataFrame:
         if self._formed(name):
             return self.table("forms", name).select("doc_id", "dl").where("dl > 0")

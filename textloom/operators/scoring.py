@@ -34,10 +34,14 @@ def score(index: Index, name: str, tfs: DataFrame, key: str | None = None) -> Da
     """Scores of (doc_id, tf) rows, or of (key, doc_id, tf) rows with frequencies per ``key``.
 
     ``df`` counts the matched documents, so the same code serves prefix unions and phrases. The
-    statistics are single rows (one per query term), joined by broadcast.
+    statistics are single rows (one per query term), joined by broadcast. Rows that have their ``dl``
+    need no join for it, and both uses of them then stay alike, so that Spark makes them once.
     """
-    keys = [key] if key else []
-    dfs = tfs.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
-    told = tfs.join(index.table("lengths", name), "doc_id")
+    keys, known = [key] if key else [], "dl" in tfs.columns
+    # the count names tf, and the test for an id names df: otherwise one use loses a column or gains a filter
+    dfs = tfs.groupBy(*keys).agg(F.count(F.when(F.col("tf") > 0, 1) if known else F.lit(1)).alias("df"))
+    told = tfs if known else tfs.join(index.table("lengths", name), "doc_id")
     told = told.join(F.broadcast(dfs), key) if key else told.crossJoin(F.broadcast(dfs))
+    if known:
+        told = told.where(F.col("doc_id").isNotNull() | (F.col("df") < 0))
     return score_terms(index, name, told).select(*keys, "doc_id", "df", "score")

@@ -85,12 +85,13 @@ class Planner:
         distinct = list(dict.fromkeys(tokens))
         times = lambda c: F.coalesce(*(F.when(c == i, F.lit(float(tokens.count(t)))) for i, t in enumerate(distinct)))
         if expand:
-            postings, parts = self.index.table("postings", name), []
+            postings, parts = self.index.table("placed", name), []
             for i, t in enumerate(distinct):
                 terms = prefix.matching_terms(self.index.table("terms", name), t, exact_first=True)
-                own = postings.where(prefix.possible(t)).join(F.broadcast(terms), "term", "left_semi").select(F.lit(i).alias("idx"), "doc_id", "pos")
+                own = postings.where(prefix.possible(t)).join(F.broadcast(terms), "term", "left_semi").select(F.lit(i).alias("idx"), *(c for c in postings.columns if c != "term"))
                 parts.append(own.distinct())
-            tfs = reduce(DataFrame.union, parts).groupBy("idx", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+            each = reduce(DataFrame.union, parts)
+            tfs = each.groupBy(*(c for c in each.columns if c != "pos")).agg(F.count(F.lit(1)).alias("tf"))
             dfs = tfs.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
             scored = score(self.index, name, tfs, "idx")
         else:
@@ -114,7 +115,9 @@ class Planner:
     def search_prefix(self, name: str, text: str) -> DataFrame:
         """Documents with a term of the prefix, scored with frequency 1."""
         terms = prefix.matching_terms(self.index.table("terms", name), text)
-        docs = self.index.table("postings", name).where(prefix.possible(text)).join(F.broadcast(terms), "term", "left_semi").select("doc_id").distinct()
+        postings = self.index.table("placed", name)
+        found = postings.where(prefix.possible(text)).join(F.broadcast(terms), "term", "left_semi")
+        docs = found.select(*(c for c in postings.columns if c not in ("term", "pos"))).distinct()
         return score(self.index, name, docs.withColumn("tf", F.lit(1))).select("doc_id", "score")
 
     def _phrase(self, q: Phrase) -> DataFrame:
